@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, decontaminate, line_dedup, simhash
+from strandline.llm import bpe, decontaminate, line_dedup, quality_rules, secrets, simhash
 from strandline.llm.common import table
 
 
@@ -14,14 +14,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     documents = lambda spark, sf_dir: table(spark, sf_dir, "documents")
     return {
         "op1_byte_bpe": lambda s, d: bpe.op1_byte_bpe(documents(s, d)),
+        "op2_quality_rules": lambda s, d: quality_rules.op2_quality_rules(documents(s, d)),
         "op3_line_dedup": lambda s, d: line_dedup.op3_line_dedup(documents(s, d)),
         "op4_decontaminate": lambda s, d: decontaminate.op4_decontaminate(documents(s, d), table(s, d, "benchmark")),
         "op5_simhash": lambda s, d: simhash.op5_simhash(documents(s, d)),
+        "op6_secrets": lambda s, d: secrets.op6_secrets(documents(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": quality_rules.OP2_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op4_decontaminate": decontaminate.OP4_SQL,
     }
