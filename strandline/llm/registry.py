@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, decontaminate, line_dedup, quality_rules, secrets, simhash
+from strandline.llm import bpe, decontaminate, line_dedup, quality_rules, secrets, simhash, toxicity
 from strandline.llm.common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": lambda s, d: decontaminate.op4_decontaminate(documents(s, d), table(s, d, "benchmark")),
         "op5_simhash": lambda s, d: simhash.op5_simhash(documents(s, d)),
         "op6_secrets": lambda s, d: secrets.op6_secrets(documents(s, d)),
+        "op7_toxicity": lambda s, d: toxicity.op7_toxicity(documents(s, d), table(s, d, "labels")),
     }
 
 
