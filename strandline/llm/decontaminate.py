@@ -9,8 +9,8 @@ each hit; only hits leave the scan.  Hits are then gathered per document, which
 has no more than its own positions.
 
 Cases: null texts have no words and are clean; an item without words has no
-window; windows that several items share count for each; repeated rows each get
-the result; a null id is an id of its own; further columns are kept by
+window; windows that several items share count for each; exact repeats of a row get
+one result; a null id is an id of its own; further columns are kept by
 ``remove_spans`` and ``drop_documents``.
 """
 
@@ -19,46 +19,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import ascii_lower, let
+from strandline.llm.common import LOWER, UPPER, let
 
 #: Windows up to which the set is broadcast (about 100 bytes each).
 BROADCAST_WINDOWS = 1_000_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words where A-Z have not been lowered yet.
+#: Not part of a word; A-Z are none of these but are lowered first.
+SEPARATORS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Lowered words: every separator becomes a blank and the text is split there."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), SEPARATORS + UPPER, " " * len(SEPARATORS) + LOWER)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def _windows(of: Column, size: int) -> Column:
-    """``(at, size, window)`` of each run of ``size`` words, positions from 0."""
-    return F.when(
-        F.size(of) >= size,
-        F.transform(F.sequence(F.lit(0), F.size(of) - size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice(of, i + 1, size), " ").alias("window"))),
-    ).otherwise(F.array().cast("array<struct<at:int,size:int,window:string>>"))
+def _hash(w: Column, at: Column, size: int) -> Column:
+    return F.when(at + size <= F.size(w), F.xxhash64(*(F.get(w, at + k) for k in range(size))))
+
+
+def _text(w: Column, at: Column, size: Column | int) -> Column:
+    return F.array_join(F.slice(w, at + 1, size), " ")
+
+
+def _positions(df: DataFrame, *kept: str) -> DataFrame:
+    """A row for each word position of the column ``w``, and one more at its end."""
+    return df.select(*kept, "w", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("at"))
 
 
 def item_windows(benchmark: DataFrame, size: int = 10, id_col: str = "item_id") -> DataFrame:
-    """``size, window, items``: each distinct window with the items that have it."""
+    """``size, h, window, items``: each distinct window with its hash and the items that have it."""
     listed = benchmark.select(F.col(id_col).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    whole = listed.where(F.size("w") < size).select("item", F.size("w").alias("size"), F.array_join("w", " ").alias("window"))
-    full = listed.where(F.size("w") >= size).select("item", F.explode(let(F.col("w"), lambda w: _windows(w, size))).alias("x")).select("item", "x.size", "x.window")
-    return whole.union(full).groupBy("size", "window").agg(F.collect_set("item").alias("items"))
+    at = _positions(listed.withColumn("size", F.least(F.size("w"), F.lit(size))), "item", "size").where(F.col("at") + F.col("size") <= F.size("w"))
+    w, i, n = F.col("w"), F.col("at"), F.col("size")
+    h = F.coalesce(*(F.when(n == k, _hash(w, i, k)) for k in range(1, size + 1)))
+    return at.select("item", "size", h.alias("h"), _text(w, i, n).alias("window")).groupBy("size", "h", "window").agg(F.collect_set("item").alias("items"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", size: int = 10) -> DataFrame:
-    """``id, mark, hits array<struct<at, size>>, items``: one row for each document with a hit."""
+    """``id, mark, n_words, hits array<struct<at, size>>, items`` for each distinct document, in one scan.
+
+    Every position is hashed and looked up; a hit counts once its words are equal.
+    """
     from strandline.llm.common import written
 
     windows = written(item_windows(benchmark, size), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # no more than ``size`` numbers
+    named = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
+    rows = _positions(named, "id", "mark")
+    w, at = F.col("w"), F.col("at")
+    if len(sizes) == 1:
+        rows = rows.withColumn("h", _hash(w, at, sizes[0]))
+    else:
+        rows = rows.withColumn("h", F.explode(F.array(*(_hash(w, at, n) for n in sizes)) if sizes else F.array(F.lit(None).cast("long"))))
     if windows.count() <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("mark"), let(words(F.col("text")), lambda w: F.concat(*(_windows(w, n) for n in sizes)) if sizes else F.array().cast("array<struct<at:int,size:int,window:string>>")).alias("all"))
-    found = rows.select("id", "mark", F.explode("all").alias("x")).select("id", "mark", "x.at", "x.size", "x.window").join(windows, ["size", "window"])
-    return found.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "size")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        found = rows.join(F.broadcast(windows), "h", "left").where((at == F.size(w)) | (_text(w, at, F.col("size")) == F.col("window")))
+        found = found.select("id", "mark", "at", F.size(w).alias("n"), "size", "items")
+    else:  # texts stay where they are: positions meet windows by hash, and hits meet their text again
+        met = rows.where(F.col("h").isNotNull()).select("id", "mark", "at", "h").join(windows, "h").drop("h")
+        same = named.alias("d").join(met.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & F.col("d.mark").eqNullSafe(F.col("m.mark")), "left")
+        found = same.select("d.id", "d.mark", F.coalesce("at", F.lit(-1)).alias("at"), F.size(w).alias("n"), F.when(_text(w, at, F.col("size")) == F.col("window"), F.col("size")).alias("size"), "items")
+    hit = F.col("size").isNotNull() & (at < F.col("n"))
+    return found.groupBy("id", "mark").agg(
+        F.max("n").cast("long").alias("n_words"),
+        F.collect_set(F.when(hit, F.struct("at", "size"))).alias("hits"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items"))))).alias("items"),
+    )
 
 
 def covered(hits: Column) -> Column:
@@ -77,24 +103,21 @@ def _with_hits(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", size: int = 10) -> DataFrame:
-    """``id_col, n_words, n_hit, items`` for every row."""
+    """``id_col, n_words, n_hit, items`` for each distinct document."""
     found = find_hits(docs, benchmark, id_col, size)
-    counted = docs.select(id_col, F.xxhash64("text").alias("mark"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
-    return counted.alias("d").join(found.alias("h"), F.col(f"d.{id_col}").eqNullSafe(F.col("h.id")) & (F.col("d.mark") == F.col("h.mark")), "left").select(
-        F.col(f"d.{id_col}"), "n_words", F.coalesce(covered(F.col("hits")), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items")
-    )
+    return found.select(F.col("id").alias(id_col), "n_words", covered(F.col("hits")).alias("n_hit"), "items")
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", size: int = 10) -> DataFrame:
     """The rows without any hit, unchanged."""
-    found = find_hits(docs, benchmark, id_col, size).select("id", "mark")
+    found = find_hits(docs, benchmark, id_col, size).where(F.size("hits") > 0).select("id", "mark")
     d = docs.withColumn("__mark", F.xxhash64("text"))
     return d.join(found, d[id_col].eqNullSafe(found["id"]) & (d["__mark"] == found["mark"]), "left_anti").drop("__mark")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", size: int = 10) -> DataFrame:
     """All rows; in those with hits the words that are hit are cut, each with the separators before it."""
-    found = find_hits(docs, benchmark, id_col, size)
+    found = find_hits(docs, benchmark, id_col, size).where(F.size("hits") > 0)
     base = docs.drop("clean_text")
     pieces = F.regexp_extract_all(F.col("d.text"), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*" + WORD_ANY_CASE), F.lit(0))
     tail = F.regexp_extract(F.col("d.text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
