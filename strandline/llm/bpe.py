@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.common import bounded_batches
+
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters after which a text is cut at the next safe boundary.
 CUT_AT = 1 << 16
@@ -100,7 +102,7 @@ def _with(df: DataFrame, fields: list[tuple[str, T.DataType]], of: str, function
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch.column(at))], names=names)
 
-    return base.mapInArrow(run, schema)
+    return bounded_batches(base).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None) -> DataFrame:

@@ -36,6 +36,16 @@ def written(df: DataFrame, name: str, *, by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Hand ``df`` to Python in batches of few MB: whole texts may be long, and each worker holds several copies.
+
+    Sets the session's Arrow batch limits, which Spark reads when it plans the query.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system interface."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

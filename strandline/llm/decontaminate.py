@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import LOWER, UPPER, let
+from strandline.llm.common import LOWER, UPPER, let, written
 
 #: Windows up to which the set is broadcast (about 100 bytes each).
 BROADCAST_WINDOWS = 1_000_000
@@ -61,8 +61,6 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", siz
 
     Every position is hashed and looked up; a hit counts once its words are equal.
     """
-    from strandline.llm.common import written
-
     windows = written(item_windows(benchmark, size), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # no more than ``size`` numbers
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))

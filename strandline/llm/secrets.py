@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import written
+from strandline.llm.common import bounded_batches, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -150,7 +150,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 names=["id", "base", "candidates", "words"],
             )
 
-    return src.mapInArrow(run, f"id {kind}, {_FOUND}").withColumnRenamed("id", id_col)
+    return bounded_batches(src).mapInArrow(run, f"id {kind}, {_FOUND}").withColumnRenamed("id", id_col)
 
 
 def thresholds(found: DataFrame, q: float = Q) -> tuple[dict[int, tuple[float, float]], dict[int, float]]:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.common import bounded_batches, written
 from strandline.llm.components import components
 
 SEED = 42
@@ -68,7 +69,7 @@ def with_fingerprints(df: DataFrame, text_col: str = "text", words_per_shingle:
             prints = [fingerprint(t.as_py(), words_per_shingle) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(prints, pa.int64())], names=names)
 
-    return base.mapInArrow(run, schema)
+    return bounded_batches(base).mapInArrow(run, schema)
 
 
 def block_masks(bits: int) -> list[int]:
@@ -125,8 +126,6 @@ def links(prints: DataFrame, bits: int = 3, chunk: int = CHUNK) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bits: int = 3) -> DataFrame:
     """``id_col, fingerprint (long), component_id``: one row per input row; the component's least id, null ids last."""
-    from strandline.llm.common import written
-
     prints = written(with_fingerprints(df.select(id_col, text_col), text_col, words_per_shingle), "prints")
     folded = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("first"))
     groups = components(links(folded.select("fp"), bits))

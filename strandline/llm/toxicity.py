@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import written
+from strandline.llm.common import bounded_batches, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of the stems that are considered.
@@ -48,6 +48,8 @@ REPORTING = frozenset("said says say called calls call quoted quote wrote word t
 QUOTES = "\"“”„«»‘’'"
 MAX_ROWS = 40_000
 MAX_TERMS = 20_000
+#: Words whose match a worker remembers.
+MEMO = 60_000
 #: Features of a document; the last two need the length alone.
 N_FEATURES = 8
 
@@ -85,11 +87,11 @@ def _counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
             for text, half in zip(batch.column("text"), batch.column("half").to_pylist(), strict=True):
                 found = terms_of(text.as_py() or "")
                 counts.update((t, half) for t in (found if only is None else found & only))
-                if len(counts) > 200_000:
+                if len(counts) > 50_000:
                     yield flush()
         yield flush()
 
-    return rows.select("text", "half").mapInArrow(run, "term string, half int, n long").groupBy("term", "half").agg(F.sum("n").alias("n"))
+    return bounded_batches(rows.select("text", "half")).mapInArrow(run, "term string, half int, n long").groupBy("term", "half").agg(F.sum("n").alias("n"))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, max_rows: int) -> DataFrame:
@@ -159,7 +161,7 @@ class Automaton:
     """
 
     #: Determinised states that are kept; beyond, the table starts anew.
-    MAX_STATES = 200_000
+    MAX_STATES = 20_000
 
     def __init__(self, lexicon: dict[str, float]):
         self.children: list[dict[str, int]] = [{}]
@@ -280,7 +282,7 @@ def features(text: str, automaton: Automaton, memo: dict[str, tuple[float, int]]
         found = known(word)
         if found is None:
             found = automaton.match(word[:64])
-            if len(memo) < 300_000:
+            if len(memo) < MEMO:
                 memo[word] = found
         if found[0]:
             hit[word] = found
@@ -318,7 +320,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0) -> n
     return w
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)  # a worker lives on after its task: keep little
 def _automaton(lexicon: tuple[tuple[str, float], ...]) -> tuple[Automaton, dict]:
     return Automaton(dict(lexicon)), {}
 
@@ -346,7 +348,7 @@ class Model:
                 scores = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
-        return base.mapInArrow(run, schema)
+        return bounded_batches(base).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
@@ -356,10 +358,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py() or "", *_automaton(held.value[h])) for t, h in zip(batch.column("text"), batch.column("half").to_pylist(), strict=True)]
+            found = [[]] * batch.num_rows
+            halves = batch.column("half").to_pylist()
+            for half in (0, 1):
+                automaton, memo = _automaton(held.value[half])
+                for k, text in enumerate(batch.column("text")):
+                    if halves[k] == half:
+                        found[k] = features(text.as_py() or "", automaton, memo)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "y"])
 
-    sample = rows.mapInArrow(run, "x array<double>, y int").collect()  # max_rows short rows
+    sample = bounded_batches(rows).mapInArrow(run, "x array<double>, y int").collect()  # max_rows short rows
     x = np.array([r["x"] for r in sample]).reshape(-1, N_FEATURES)
     return Model(lexicons[2], fit(x, np.array([float(r["y"]) for r in sample])))
 
