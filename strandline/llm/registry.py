@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, decontaminate, line_dedup, quality_rules, secrets, simhash, toxicity
+from strandline.llm import bpe, decontaminate, line_dedup, quality_model, quality_rules, secrets, simhash, surrogates, token_counts, toxicity
 from strandline.llm.common import table
 
 
@@ -20,6 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": lambda s, d: simhash.op5_simhash(documents(s, d)),
         "op6_secrets": lambda s, d: secrets.op6_secrets(documents(s, d)),
         "op7_toxicity": lambda s, d: toxicity.op7_toxicity(documents(s, d), table(s, d, "labels")),
+        "op8_quality_classifier": lambda s, d: quality_model.op8_quality_classifier(documents(s, d), table(s, d, "labels")),
+        "op9_token_counts": lambda s, d: token_counts.op9_token_counts(documents(s, d)),
+        "op10_surrogates": lambda s, d: surrogates.op10_surrogates(documents(s, d)),
     }
 
 
