@@ -31,7 +31,7 @@ def closure(seeds: DataFrame, deps: DataFrame, max_depth: int | None = None) ->
     A seed itself appears only where a cycle leads back to it.
     """
     by = [c for c in ("root", "id") if c in seeds.columns]
-    step = deps.select("up", "down").distinct()
+    step = settled(deps.select("up", "down").distinct(), "steps")
     frontier, known, depth = seeds.select(*by).distinct(), None, 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -48,7 +48,7 @@ def closure(seeds: DataFrame, deps: DataFrame, max_depth: int | None = None) ->
 
 def first_root(seeds: DataFrame, deps: DataFrame) -> DataFrame:
     """``id, root``: what ``seeds`` (``id``) reach, each with the least seed that reaches it; minima travel, not pairs."""
-    step = deps.select("up", "down").distinct()
+    step = settled(deps.select("up", "down").distinct(), "steps")
     known = settled(seeds.select("id", F.col("id").alias("root")).limit(0), "roots")
     frontier = seeds.select("id", F.col("id").alias("root")).distinct()
     while True:
@@ -70,7 +70,7 @@ def impact(nodes: DataFrame, deps: DataFrame, bindings: DataFrame, concept: str,
 
 def layers(nodes: DataFrame, deps: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``id, layer``: the longest path that ends in a node; a cycle raises."""
-    step = deps.select("up", "down").distinct()
+    step = settled(deps.select("up", "down").distinct(), "steps")
     current = settled(nodes.select("id", F.lit(0).alias("layer")).distinct(), "layers")
     for round_no in range(1, max_rounds):
         # A node is in the next layer if some input is in the layer before.

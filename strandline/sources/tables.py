@@ -94,5 +94,5 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEDGER_SQL = """ledger AS (
   SELECT event_id, user_id AS run_id, CASE event_type WHEN 'view' THEN 'run.started' WHEN 'purchase' THEN 'run.finished' ELSE event_type END AS type,
-    ts AS at, CAST(json_extract_string(props, '$.k') AS INT) AS version, value FROM events
+    ts AS "at", CAST(json_extract_string(props, '$.k') AS INT) AS version, value FROM events
 )"""
