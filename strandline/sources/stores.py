@@ -16,7 +16,7 @@ from strandline.functions.scalars import is_digest
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """``id, text, issue``: issue is null for a sound document."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
-    named = files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("id"), F.sha2("content", 256).alias("hash"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    named = files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("id"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("text"))
     issue = F.when(~is_digest(F.col("id")), "INVALID_NAME").when(F.col("id") != F.col("hash"), "HASH_MISMATCH").when(F.expr("try_parse_json(text)").isNull(), "INVALID_JSON")
     return named.select("id", "text", issue.alias("issue"))
 
