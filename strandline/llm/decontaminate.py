@@ -119,9 +119,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     base = docs.drop("clean_text")
     pieces = F.regexp_extract_all(F.col("d.text"), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*" + WORD_ANY_CASE), F.lit(0))
     tail = F.regexp_extract(F.col("d.text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
-    gone = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h.at, h.at + h["size"] - 1))))
+    gone = F.array_distinct(F.flatten(F.transform("h.hits", lambda h: F.sequence(h.at, h.at + h["size"] - 1))))
     clean = let(F.struct(pieces.alias("p"), gone.alias("g")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x.p) - 1), x.g), lambda i: x.p[i]), ""))
-    return _with_hits(base, found, id_col).select(*(F.col(f"d.{c}") for c in base.columns), F.when(F.col("hits").isNull(), F.col("d.text")).otherwise(F.concat(clean, tail)).alias("clean_text"))
+    return _with_hits(base, found, id_col).select(*(F.col(f"d.{c}") for c in base.columns), F.when(F.col("h.hits").isNull(), F.col("d.text")).otherwise(F.concat(clean, tail)).alias("clean_text"))
 
 
 def op4_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

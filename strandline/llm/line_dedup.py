@@ -139,7 +139,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", min_length: int =
     joined = base.withColumn("__mark", mark).alias("d").join(dropped.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & F.col("d.__mark").eqNullSafe(F.col("g.mark")), "left")
 
     def rest(lines: Column) -> Column:
-        gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
+        gone = F.coalesce(F.col("g.gone"), F.array().cast("array<int>"))
         kept = let(F.struct(lines.alias("all"), gone.alias("gone")), lambda x: F.struct(
             F.size(x["all"]).cast("long").alias("n_lines"),
             F.size(x["gone"]).cast("long").alias("n_dropped"),
@@ -147,9 +147,9 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", min_length: int =
         ))
         return kept
 
-    out = joined.withColumn("__cut", F.when(F.col("gone").isNull(), F.struct(
-        F.size(text_lines(F.col("text"))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("kept_text"),
-    )).otherwise(rest(text_lines(F.col("text")))))
+    out = joined.withColumn("__cut", F.when(F.col("g.gone").isNull(), F.struct(
+        F.size(text_lines(F.col("d.text"))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.coalesce("d.text", F.lit("")).alias("kept_text"),
+    )).otherwise(rest(text_lines(F.col("d.text")))))
     return out.select(*(F.col(f"d.{c}") for c in base.columns), "__cut.n_lines", "__cut.n_dropped", "__cut.kept_text")
 
 

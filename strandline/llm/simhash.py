@@ -124,19 +124,22 @@ def links(prints: DataFrame, bits: int = 3, chunk: int = CHUNK) -> DataFrame:
     return pairs.union(dealt.mapInArrow(run, "u long, v long"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bits: int = 3) -> DataFrame:
-    """``id_col, fingerprint (long), component_id``: one row per input row; the component's least id, null ids last."""
-    prints = written(with_fingerprints(df.select(id_col, text_col), text_col, words_per_shingle), "prints")
-    folded = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("first"))
+def _grouped(df: DataFrame, id_col: str, text_col: str, words_per_shingle: int, bits: int) -> DataFrame:
+    """``id, mark, fingerprint, component (a fingerprint), component_id`` for every row; ``mark`` is a hash of the text."""
+    named = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    prints = written(with_fingerprints(named, "text", words_per_shingle), "prints")
+    folded = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("first"))
     groups = components(links(folded.select("fp"), bits))
-    least = (
-        folded.join(groups, F.col("fp") == F.col("node"))
-        .groupBy("component")
-        .agg(F.min("first").alias("component_id"))
-    )
-    joined = groups.join(least, "component").select(F.col("node").alias("fingerprint"), "component_id")
-    alone = folded.join(groups, F.col("fp") == F.col("node"), "left_anti").select(F.col("fp").alias("fingerprint"), F.col("first").alias("component_id"))
-    return prints.join(joined.union(alone), "fingerprint").select(id_col, "fingerprint", "component_id")
+    least = folded.join(groups, F.col("fp") == F.col("node")).groupBy("component").agg(F.min("first").alias("component_id"))
+    joined = groups.join(least, "component").select(F.col("node").alias("fingerprint"), "component", "component_id")
+    alone = folded.join(groups, F.col("fp") == F.col("node"), "left_anti").select(F.col("fp").alias("fingerprint"), F.col("fp").alias("component"), F.col("first").alias("component_id"))
+    return prints.join(joined.union(alone), "fingerprint")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bits: int = 3) -> DataFrame:
+    """``id_col, fingerprint (long), component_id``: one row per input row; the component's least id, null if it has none."""
+    found = _grouped(df, id_col, text_col, words_per_shingle, bits)
+    return found.select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
 def hex_fingerprint(column="fingerprint"):
@@ -148,8 +151,9 @@ def op5_simhash(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each group stays: the one with the least id (of repeated rows one)."""
-    found = near_duplicates(documents, id_col)
-    firsts = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    return documents.dropDuplicates([id_col]).join(firsts, id_col, "left_semi")
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bits: int = 3) -> DataFrame:
+    """One document of each group stays: that with the least id, nulls last; of rows with one id and text, one."""
+    found = _grouped(documents, id_col, text_col, words_per_shingle, bits)
+    firsts = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.mark").alias("__m"))
+    marked = documents.withColumn("__mark", F.xxhash64(text_col)).dropDuplicates([id_col, "__mark"])
+    return marked.join(firsts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left_semi").drop("__mark")
