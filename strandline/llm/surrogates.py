@@ -39,7 +39,7 @@ PATTERNS = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
     ("card", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ ./-]?)?(?:\(\d{1,4}\)[ ./-]?)?\d{2,5}(?:[ ./-]\d{2,5}){1,4}(?![\w])|(?<!\w)\+\d{8,15}(?!\w)")),
+    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ ./-]?)?(?:\(\d{1,4}\)[ ./-]?)?\d{2,5}(?:[ ./-]\d{2,8}){1,4}(?![\w])|(?<!\w)\+\d{8,15}(?!\w)")),
     ("name", re.compile(rf"(?<!\w)(?:{TITLES})\.? {_CAP}(?:[ -]{_CAP})?")),
 )
 DEFAULT_KEY = b"change me"

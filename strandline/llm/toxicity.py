@@ -251,7 +251,7 @@ class Automaton:
                 fuzzy = max(fuzzy, weight)
         if exact or stem:
             return max(exact, stem), 0
-        return (fuzzy, 1) if fuzzy and len(word) >= FUZZY_FROM else (0.0, 0)
+        return (fuzzy, 1) if fuzzy and len(word) >= FUZZY_FROM - 1 else (0.0, 0)
 
     def _stem_at(self, state: int) -> float:
         best = 0.0
