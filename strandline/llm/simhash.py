@@ -12,6 +12,9 @@ cells of bounded size (its members in chunks, one cell for each pair of chunks);
 a cell compares its members with vector instructions and returns a spanning
 forest of its links, never all pairs.  Links then go through ``components``.
 
+``near_duplicates`` links at a few differing bits.  ``keep_first`` links by the
+similarity of shingle sets, which takes a longer fingerprint and more blocks.
+
 Cases: a null or empty text, or one of blanks only, has fingerprint zero and
 links like any other; fewer words than a shingle form one shingle; repeated rows
 each keep their row; further columns are kept and clashing ones are replaced.
@@ -19,7 +22,9 @@ each keep their row; further columns are kept and clashing ones are replaced.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +42,10 @@ SEED = 42
 STEP = 1 << 15
 #: Members of a chunk; a cell holds two chunks at most.
 CHUNK = 2048
+#: 64-bit words of a long fingerprint; its overlapping blocks and their bits; members of a chunk of these.
+LONG_WORDS = 4
+BLOCKS, WIDTH = 48, 20
+LONG_CHUNK = 8192
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -151,9 +160,127 @@ def op5_simhash(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bits: int = 3) -> DataFrame:
-    """One document of each group stays: that with the least id, nulls last; of rows with one id and text, one."""
-    found = _grouped(documents, id_col, text_col, words_per_shingle, bits)
-    firsts = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.mark").alias("__m"))
-    marked = documents.withColumn("__mark", F.xxhash64(text_col)).dropDuplicates([id_col, "__mark"])
-    return marked.join(firsts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left_semi").drop("__mark")
+# -- near copies by similarity ---------------------------------------------------------
+
+
+def long_fingerprint(text: str | None, words_per_shingle: int = 5) -> bytes:
+    """A fingerprint of ``LONG_WORDS`` 64-bit words over *distinct* shingles, so that it speaks of sets."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(8 * LONG_WORDS)
+    k = min(words_per_shingle, len(words))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.fromiter((digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)), dtype=np.uint64, count=len(words) - k + 1))
+    ones = np.zeros(64 * LONG_WORDS, dtype=np.int64)
+    for at in range(0, len(hashes), STEP):
+        part = hashes[at : at + STEP]
+        wide = np.stack([_mixed(part, turn) for turn in range(LONG_WORDS)], axis=1).astype(">u8")
+        ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
+    """Further independent hashes from one, by the splitmix64 finaliser."""
+    z = h + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def most_bits(similarity: float, n_bits: int = 64 * LONG_WORDS) -> int:
+    """Bits that sets of this Jaccard similarity differ in, on average and half a deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(n_bits * share + 0.5 * math.sqrt(n_bits * share * (1 - share)))
+
+
+@functools.lru_cache(maxsize=4)
+def block_places(blocks: int, width: int) -> np.ndarray:
+    """Overlapping blocks: for each, ``width`` bit positions, the same on every machine."""
+    dealt = np.random.default_rng(SEED)
+    return np.stack([dealt.permutation(64 * LONG_WORDS)[:width] for _ in range(blocks)])
+
+
+def _folded(named: DataFrame, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``id, mark, fp`` of each row; ``fp, node`` of each distinct fingerprint, both stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [long_fingerprint(t.as_py(), words_per_shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(prints, pa.binary())], names=["id", "mark", "fp"])
+
+    schema = T.StructType([named.schema["id"], named.schema["mark"], T.StructField("fp", T.BinaryType())])
+    prints = written(bounded_batches(named).mapInArrow(run, schema), "long-prints")
+    nodes = written(prints.groupBy("fp").agg(F.count("*").alias("n")).select("fp", F.monotonically_increasing_id().alias("node")), "nodes")
+    return prints, nodes
+
+
+def similar(nodes: DataFrame, most: int, blocks: int = BLOCKS, width: int = WIDTH) -> DataFrame:
+    """``fp, node`` to edges ``(u, v)`` of nodes: a spanning forest of each block's links of at most ``most`` bits."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = block_places(blocks, width)
+        powers = 1 << np.arange(width, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1), axis=1)
+            keys = bits[:, places] @ powers + (np.arange(blocks, dtype=np.int64) << width)
+            rows = np.repeat(np.arange(batch.num_rows), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(batch.column(c).take(pa.array(rows)) for c in ("node", "fp"))], names=["key", "node", "fp"])
+
+    filed = bounded_batches(nodes.select("fp", "node")).mapInArrow(file, "key long, node long, fp binary")
+    many = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / LONG_CHUNK).cast("int").alias("chunks"))
+    dealt = (
+        filed.join(many, "key")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .agg(F.collect_list(F.struct("node", "fp")).alias("members"))
+        .where(F.size("members") > 1)
+        .select("members")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for members in batch.column(0):
+                own = members.values
+                prints = np.frombuffer(b"".join(own.field("fp").to_pylist()), dtype=np.uint64).reshape(-1, LONG_WORDS)
+                found += long_forest(own.field("node").to_numpy(zero_copy_only=False), prints, most)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["u", "v"])
+
+    return bounded_batches(dealt).mapInArrow(compare, "u long, v long")
+
+
+def long_forest(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Star edges of each group that links join, as ``cell_forest`` for long fingerprints."""
+    left, edges = np.arange(len(nodes)), []
+    while left.size:
+        root, left = left[0], left[1:]
+        frontier = [root]
+        while frontier and left.size:
+            near = np.bitwise_count(prints[left] ^ prints[frontier.pop()]).sum(axis=1) <= most
+            if near.any():
+                hits, left = left[near], left[~near]
+                frontier += hits.tolist()
+                edges += [(int(nodes[x]), int(nodes[root])) for x in hits]
+    return edges
+
+
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies stays: that with the least id, nulls last; of rows with one id and text, one.
+
+    Copies are texts whose sets of shingles are as similar as ``similarity``, judged by
+    long fingerprints.  These differ in too many bits for whole blocks to hold every
+    pair, so they meet in overlapping blocks, which all but a few per cent of the pairs
+    at the bound itself share.  The texts move once: both joins and the repeats use the same keys.
+    """
+    named = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    prints, nodes = _folded(named, words_per_shingle)
+    groups = components(similar(nodes, most_bits(similarity)))
+    placed = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    keyed = lambda df, of: df.withColumns({"__id": F.coalesce(F.col(of), F.lit(0).cast(df.schema[of].dataType)), "__none": F.col(of).isNull()})
+    least = prints.join(placed, "fp").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("x")).select("x.id", F.col("x.mark").alias("__mark"))
+    marked = keyed(documents.withColumn("__mark", F.xxhash64(text_col)), id_col)
+    kept = marked.join(keyed(least, "id").select("__id", "__none", "__mark"), ["__id", "__none", "__mark"], "left_semi")
+    return kept.dropDuplicates(["__id", "__none", "__mark"]).select(*documents.columns)

@@ -121,6 +121,26 @@ def test_simhash_components_are_brute_force(spark, monkeypatch):
     assert got == {i: (f"{prints[i]:016x}", root(i)) for i in texts}
 
 
+def test_keep_first_is_brute_force_on_similar_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LONG_CHUNK", 4)
+    dealt = random.Random(5)
+    word = lambda: f"w{dealt.randrange(4000)}"
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(200)]
+        texts.append(base)
+        for changes in (0, 1, 2):  # five-word similarity 1, 0.95 and 0.9
+            copy = list(base)
+            for at in dealt.sample(range(10, 190, 12), changes):
+                copy[at] = word()
+            texts.append(copy)
+        texts.append(base[:100] + [word() for _ in range(100)])  # a third: no copy
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    firsts = [i for i, a in enumerate(shingles) if not any(len(a & b) >= 0.8 * len(a | b) for b in shingles[:i])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == firsts
+
+
 def test_cells_and_masks():
     import numpy as np
 
