@@ -44,7 +44,7 @@ STEP = 1 << 15
 CHUNK = 2048
 #: 64-bit words of a long fingerprint; its overlapping blocks and their bits; members of a chunk of these.
 LONG_WORDS = 4
-BLOCKS, WIDTH = 64, 18
+BLOCKS, WIDTH = 192, 28
 LONG_CHUNK = 8192
 
 
@@ -224,14 +224,14 @@ def similar(nodes: DataFrame, most: int, blocks: int = BLOCKS, width: int = WIDT
             if not batch.num_rows:
                 continue
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1), axis=1)
-            keys = bits[:, places] @ powers + (np.arange(blocks, dtype=np.int64) << width)
-            rows = np.repeat(np.arange(batch.num_rows), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(batch.column(c).take(pa.array(rows)) for c in ("node", "fp"))], names=["key", "node", "fp"])
+            keys = np.stack([bits[:, at] @ powers + (block << width) for block, at in enumerate(places)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), blocks)))], names=["key", "node"])
 
-    filed = bounded_batches(nodes.select("fp", "node")).mapInArrow(file, "key long, node long, fp binary")
+    filed = bounded_batches(nodes.select("fp", "node")).mapInArrow(file, "key long, node long")
     many = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / LONG_CHUNK).cast("int").alias("chunks"))
     dealt = (
         filed.join(many, "key")
+        .join(nodes, "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
