@@ -7,7 +7,7 @@ written to the shared folder, so plans stay short and survive lost executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.vocab import ANNOTATION_RELATIONS
@@ -108,3 +108,19 @@ def bounded_context(edges: DataFrame, seeds: DataFrame, max_hops: int, max_nodes
         following = known.where(F.col("hop") == hop - 1).join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti")
         known = settled(known.union(following.orderBy("id").limit(room).select("id", F.lit(hop).alias("hop"))), "context")
     return known
+
+
+def fitted_context(context: DataFrame, edges: DataFrame, node_bytes: Column, edge_bytes: Column, budget: int) -> DataFrame:
+    """``kind, id, other, rel`` of a bounded context that fits ``budget`` bytes: edges give way first, then the farthest nodes, seeds never.
+
+    ``context`` is what ``bounded_context`` returns, so its rows and the edges among them are few.
+    """
+    nearest = Window.orderBy("hop", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = context.withColumn("used", F.sum(node_bytes).over(nearest)).where((F.col("hop") == 0) | (F.col("used") <= budget))
+    at = kept.select(F.col("id").alias("src"), F.col("hop").alias("from_hop"))
+    to = kept.select(F.col("id").alias("dst"), F.col("hop").alias("to_hop"))
+    inside = edges.select("src", "dst", "rel").distinct().join(F.broadcast(at), "src").join(F.broadcast(to), "dst").withColumn("far", F.greatest("from_hop", "to_hop"))
+    first = Window.orderBy("far", "src", "dst", "rel").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nodes = kept.agg(F.coalesce(F.max("used"), F.lit(0)).alias("n")).first()["n"]
+    fits = inside.withColumn("used", F.sum(edge_bytes).over(first) + nodes).where(F.col("used") <= budget)
+    return kept.select(F.lit("node").alias("kind"), "id", F.lit(None).cast("string").alias("other"), F.lit(None).cast("string").alias("rel")).union(fits.select(F.lit("edge"), "src", "dst", "rel"))

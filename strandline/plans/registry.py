@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars
 from strandline.functions.vocab import NODE_TYPES
-from strandline.operators import checks, graph, ledgers, reviews, rules, search
+from strandline.operators import checks, deliberations, graph, ledgers, mappings, reviews, rules, search
 from strandline.sources import tables as t
 from strandline.sources.scratch import settled
 from strandline.streaming import pairing
@@ -105,6 +105,19 @@ def bounded_context_k2(s, d):
     return graph.bounded_context(t.edges(s, d), _seed(s, "region:0"), 2, 64)
 
 
+@query(f"""WITH {GRAPH}, ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), h0 AS (SELECT 'region:0' AS id, 0 AS hop),
+n1 AS (SELECT DISTINCT dst AS id FROM ways JOIN h0 ON src = h0.id WHERE dst NOT IN (SELECT id FROM h0)),
+h1 AS (SELECT * FROM h0 UNION ALL (SELECT id, 1 FROM n1 ORDER BY id LIMIT 63)),
+n2 AS (SELECT DISTINCT dst AS id FROM ways JOIN h1 ON src = h1.id WHERE hop = 1 AND dst NOT IN (SELECT id FROM h1)),
+c AS (SELECT * FROM h1 UNION ALL (SELECT id, 2 FROM n2 ORDER BY id LIMIT (SELECT 64 - count(*) FROM h1))),
+k AS (SELECT *, sum(length(id)) OVER (ORDER BY hop, id) AS used FROM c QUALIFY hop = 0 OR used <= 1000),
+e AS (SELECT src, dst, rel, sum(length(src) + length(dst)) OVER (ORDER BY greatest(a.hop, b.hop), src, dst, rel) + (SELECT max(used) FROM k) AS used FROM (SELECT DISTINCT src, dst, rel FROM edges) JOIN k a ON a.id = src JOIN k b ON b.id = dst)
+SELECT 'node' AS kind, id, NULL AS other, NULL AS rel FROM k UNION ALL SELECT 'edge', src, dst, rel FROM e WHERE used <= 1000""")
+def bounded_context_bytes(s, d):
+    context = graph.bounded_context(t.edges(s, d), _seed(s, "region:0"), 2, 64)
+    return graph.fitted_context(context, t.edges(s, d), F.length("id"), F.length("src") + F.length("dst"), 1000)
+
+
 # -- checks --------------------------------------------------------------------------
 
 
@@ -381,6 +394,97 @@ def open_proposal_groups(s, d):
     return free.groupBy(F.col("o_orderpriority").alias("round_"), F.col("o_orderstatus").alias("phase")).agg(F.array_sort(F.collect_set(F.col("o_custkey") % 50)).alias("proposals"))
 
 
+#: Order lines repeat their numbers: one row of each stands for a record.
+_LINE = "line AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1)"
+
+
+def _line(s, d):
+    least = F.min_by(F.struct("*"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    return t.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(least.alias("x")).select("x.*")
+
+
+_LEDGER_OF_SETS = f"""{_LINE}, proposals AS (SELECT l_orderkey AS topic, l_partkey AS candidate, l_suppkey AS actor, l_suppkey % 7 AS grp FROM line),
+sets AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 64 = 63 THEN o_orderkey - 1 ELSE o_orderkey END AS topic FROM orders),
+members AS (SELECT l_orderkey AS set_id, CASE WHEN l_tax >= 0.08 THEN l_partkey + 1 ELSE l_partkey END AS candidate FROM line WHERE l_quantity > 2),
+ballots AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_discount >= 0.1 THEN -l_orderkey ELSE l_orderkey END AS set_id, l_suppkey % 5 AS voter, l_suppkey % 7 AS grp, l_returnflag AS role, l_shipdate AS "at" FROM line WHERE l_linenumber <= 3),
+evaluations AS (SELECT b.id AS ballot_id, l_partkey AS candidate FROM ballots b JOIN line ON l_orderkey = b.id // 10 WHERE l_linenumber <> b.id % 10),
+decisions AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN o_orderkey - 1 ELSE o_orderkey END AS set_id, o_custkey % 11 AS actor, o_orderdate + INTERVAL 60 DAY AS "at" FROM orders),
+pins AS (SELECT l_orderkey AS decision_id, l_orderkey * 10 + l_linenumber AS ballot_id FROM line WHERE l_linenumber <= CASE WHEN l_returnflag = 'R' THEN 4 ELSE 3 END)"""
+
+
+@query(f"""WITH {_LEDGER_OF_SETS}, proposed AS (SELECT DISTINCT s.id AS set_id, candidate FROM proposals p JOIN sets s ON s.topic = p.topic),
+own AS (SELECT DISTINCT s.id AS set_id, candidate, grp FROM proposals p JOIN sets s ON s.topic = p.topic), m AS (SELECT DISTINCT set_id, candidate FROM members),
+cb AS (SELECT b.* FROM ballots b JOIN sets s ON s.id = b.set_id), j AS (SELECT DISTINCT cb.id, cb.set_id, cb.grp, candidate FROM evaluations e JOIN cb ON cb.id = e.ballot_id),
+due AS (SELECT d.id AS decision_id, b.id AS ballot_id FROM decisions d JOIN ballots b ON b.set_id = d.set_id)
+SELECT DISTINCT code, id FROM (
+SELECT 'SET_REPEATED' AS code, id FROM sets WHERE topic IN (SELECT topic FROM sets GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'SET_LACKS_PROPOSAL', set_id FROM proposed WHERE (set_id, candidate) NOT IN (FROM m)
+UNION ALL SELECT 'SET_UNPROPOSED_CANDIDATE', set_id FROM m WHERE (set_id, candidate) NOT IN (FROM proposed)
+UNION ALL SELECT 'BALLOT_WITHOUT_SET', id FROM ballots WHERE set_id NOT IN (SELECT id FROM sets)
+UNION ALL SELECT 'BALLOT_REPEATED', b.id FROM ballots b JOIN ballots o ON o.set_id = b.set_id AND o.voter = b.voter AND o.role = b.role AND o.id <> b.id
+UNION ALL SELECT 'BALLOT_UNKNOWN_CANDIDATE', id FROM j WHERE (set_id, candidate) NOT IN (FROM m)
+UNION ALL SELECT 'BALLOT_OWN_CANDIDATE', j.id FROM j JOIN m ON m.set_id = j.set_id AND m.candidate = j.candidate WHERE (j.set_id, j.candidate, j.grp) IN (FROM own)
+UNION ALL SELECT 'BALLOT_LACKS_CANDIDATE', cb.id FROM cb JOIN m ON m.set_id = cb.set_id WHERE (cb.set_id, m.candidate, cb.grp) NOT IN (FROM own) AND (cb.id, m.candidate) NOT IN (SELECT id, candidate FROM j)
+UNION ALL SELECT 'DECISION_WITHOUT_SET', id FROM decisions WHERE set_id NOT IN (SELECT id FROM sets)
+UNION ALL SELECT 'DECISION_REPEATED', id FROM decisions WHERE set_id IN (SELECT set_id FROM decisions GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'DECISION_NOT_INDEPENDENT', d.id FROM decisions d JOIN ballots b ON b.set_id = d.set_id AND b.voter = d.actor
+UNION ALL SELECT 'DECISION_NOT_INDEPENDENT', d.id FROM decisions d JOIN sets s ON s.id = d.set_id JOIN proposals p ON p.topic = s.topic AND p.actor = d.actor
+UNION ALL SELECT 'DECISION_STALE_BALLOTS', decision_id FROM due WHERE (decision_id, ballot_id) NOT IN (FROM pins)
+UNION ALL SELECT 'DECISION_STALE_BALLOTS', decision_id FROM pins WHERE (decision_id, ballot_id) NOT IN (FROM due)
+UNION ALL SELECT 'DECISION_EARLY', d.id FROM decisions d JOIN ballots b ON b.set_id = d.set_id WHERE d."at" < b."at")""")
+def deliberation_issues(s, d):
+    line, orders = _line(s, d), t.table(s, d, "orders")
+    of = lambda df, **columns: df.select(*(F.expr(e).alias(name) for name, e in columns.items()))
+    ballots = of(line.where("l_linenumber <= 3"), id="l_orderkey * 10 + l_linenumber", set_id="if(l_discount >= 0.1, -l_orderkey, l_orderkey)", voter="l_suppkey % 5", grp="l_suppkey % 7", role="l_returnflag", at="l_shipdate")
+    others = line.select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("other"))
+    return deliberations.issues(
+        of(line, topic="l_orderkey", candidate="l_partkey", actor="l_suppkey", grp="l_suppkey % 7"),
+        of(orders, id="o_orderkey", topic="if(o_orderkey % 64 = 63, o_orderkey - 1, o_orderkey)"),
+        of(line.where("l_quantity > 2"), set_id="l_orderkey", candidate="if(l_tax >= 0.08, l_partkey + 1, l_partkey)"),
+        ballots,
+        of(line.where("l_linenumber <= 3").drop("l_partkey").join(others, "l_orderkey").where("other <> l_linenumber"), ballot_id="l_orderkey * 10 + l_linenumber", candidate="l_partkey"),
+        of(orders, id="o_orderkey", set_id="if(o_orderstatus = 'P', o_orderkey - 1, o_orderkey)", actor="o_custkey % 11", at="o_orderdate + INTERVAL 60 DAY"),
+        of(line.where("l_linenumber <= if(l_returnflag = 'R', 4, 3)"), decision_id="l_orderkey", ballot_id="l_orderkey * 10 + l_linenumber"),
+    )
+
+
+# -- mappings ------------------------------------------------------------------------
+
+_MAPPINGS = f"""{_LINE}, m AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber > 4 THEN l_orderkey * 10 + l_linenumber - 1 END AS supersedes, l_suppkey AS term, CASE WHEN l_tax > 0.04 THEN 'close' ELSE 'exact' END AS relation, l_partkey AS target,
+  CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'proposed' ELSE 'accepted' END AS state FROM line WHERE l_quantity < 10),
+terms AS (SELECT s_suppkey AS term, s_nationkey % 3 AS kind FROM supplier), targets AS (SELECT p_partkey AS target, p_size % 3 AS kind, p_size > 40 AS deprecated FROM part WHERE p_size > 3),
+leaf AS (SELECT * FROM m WHERE id NOT IN (SELECT supersedes FROM m WHERE supersedes IS NOT NULL)),
+split AS (SELECT term FROM leaf WHERE state = 'accepted' GROUP BY term HAVING count(DISTINCT (relation, target)) > 1),
+f AS (SELECT leaf.id, leaf.term, state, concat_ws(',', CASE WHEN x.target IS NULL THEN 'TARGET_MISSING' END, CASE WHEN deprecated THEN 'TARGET_DEPRECATED' END, CASE WHEN terms.kind <> x.kind THEN 'KIND_MISMATCH' END,
+  CASE WHEN state = 'accepted' AND leaf.term IN (FROM split) THEN 'CONFLICT' END) AS findings FROM leaf LEFT JOIN targets x ON x.target = leaf.target LEFT JOIN terms ON terms.term = leaf.term),
+judged AS (SELECT id, term, findings, state = 'accepted' AND findings = '' AS eligible FROM f)"""
+
+
+def _mappings(s, d):
+    of = lambda df, **columns: df.select(*(F.expr(e).alias(name) for name, e in columns.items()))
+    m = of(
+        _line(s, d).where("l_quantity < 10"), id="l_orderkey * 10 + l_linenumber", supersedes="if(l_linenumber > 4, l_orderkey * 10 + l_linenumber - 1, null)",
+        term="l_suppkey", relation="if(l_tax > 0.04, 'close', 'exact')", target="l_partkey", state="CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'proposed' ELSE 'accepted' END",
+    )
+    terms = of(t.table(s, d, "supplier"), term="s_suppkey", kind="s_nationkey % 3")
+    targets = of(t.table(s, d, "part").where("p_size > 3"), target="p_partkey", kind="p_size % 3", deprecated="p_size > 40")
+    return m, mappings.eligibility(m, terms, targets)
+
+
+@query(f"WITH {_MAPPINGS} SELECT * FROM judged")
+def mapping_eligibility(s, d):
+    return _mappings(s, d)[1]
+
+
+@query(f"""WITH {_MAPPINGS}, p AS (SELECT DISTINCT o_orderpriority AS policy, o_orderkey * 10 + 5 AS mapping FROM orders), x AS (SELECT p.*, term, eligible, mapping IN (SELECT id FROM m) AS known FROM p LEFT JOIN judged ON id = mapping)
+SELECT policy, mapping, CASE WHEN NOT known THEN 'MAPPING_MISSING' WHEN eligible IS NULL THEN 'MAPPING_SUPERSEDED' ELSE 'MAPPING_NOT_ELIGIBLE' END AS code FROM x WHERE NOT coalesce(eligible, false)
+UNION ALL SELECT policy, mapping, 'TERM_REPEATED' FROM x WHERE term IS NOT NULL QUALIFY count(*) OVER (PARTITION BY policy, term) > 1""")
+def policy_issues(s, d):
+    m, judged = _mappings(s, d)
+    policy = t.table(s, d, "orders").select(F.col("o_orderpriority").alias("policy"), (F.col("o_orderkey") * 10 + 5).alias("mapping"))
+    return mappings.policy_issues(policy, m, judged)
+
+
 # -- rules ---------------------------------------------------------------------------
 
 _RULES = [

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
-from strandline.operators import checks, graph, ledgers, reviews, rules, search
+from strandline.operators import checks, deliberations, graph, ledgers, mappings, reviews, rules, search
 from strandline.sources import stores
 
 
@@ -157,3 +157,41 @@ def test_read_graph_last_definition_wins(spark, tmp_path):
     assert rows(nodes, "id", "type") == [("a", "claim")]
     assert rows(edges, "src", "dst", "rel") == [("a", "b", "cites")]
     assert rows(concepts, "name", "canonical") == [("k", "v")]
+
+
+def test_deliberation_issues(spark):
+    frame = spark.createDataFrame
+    proposals = frame([("t", "a", "ann", "g1"), ("t", "b", "bob", "g2"), ("u", "c", "cas", "g3")], "topic string, candidate string, actor string, grp string")
+    sets = frame([("s", "t"), ("v", "u")], "id string, topic string")
+    members = frame([("s", "a"), ("s", "b"), ("v", "x")], "set_id string, candidate string")
+    ballots = frame([("b1", "s", "dan", "g4", "r", 5), ("b2", "s", "eve", "g1", "r", 6), ("b3", "s", "eve", "g1", "r", 6), ("b4", "none", "dan", "g4", "r", 5)], "id string, set_id string, voter string, grp string, role string, at int")
+    evaluations = frame([("b1", "a"), ("b1", "b"), ("b2", "b"), ("b3", "a"), ("b3", "z")], "ballot_id string, candidate string")
+    decisions = frame([("d1", "s", "fay", 4), ("d2", "v", "cas", 1), ("d3", "none", "fay", 9)], "id string, set_id string, actor string, at int")
+    pins = frame([("d1", "b1"), ("d1", "b2"), ("d1", "b3"), ("d2", "b1")], "decision_id string, ballot_id string")
+    found = deliberations.issues(proposals, sets, members, ballots, evaluations, decisions, pins)
+    assert rows(found, "code", "id") == sorted([
+        ("SET_LACKS_PROPOSAL", "v"), ("SET_UNPROPOSED_CANDIDATE", "v"), ("BALLOT_WITHOUT_SET", "b4"), ("BALLOT_REPEATED", "b2"), ("BALLOT_REPEATED", "b3"),
+        ("BALLOT_UNKNOWN_CANDIDATE", "b3"), ("BALLOT_OWN_CANDIDATE", "b3"), ("BALLOT_LACKS_CANDIDATE", "b3"),
+        ("DECISION_WITHOUT_SET", "d3"), ("DECISION_EARLY", "d1"), ("DECISION_NOT_INDEPENDENT", "d2"), ("DECISION_STALE_BALLOTS", "d2"), ("DECISION_STALE_BALLOTS", "d3"),
+    ], key=str)
+
+
+def test_mappings_and_policies(spark):
+    frame = spark.createDataFrame
+    given = frame([(1, None, "t", "exact", "x", "accepted"), (2, 1, "t", "exact", "y", "accepted"), (3, None, "t", "close", "y", "accepted"), (4, None, "u", "exact", "gone", "accepted"), (5, None, "v", "exact", "old", "proposed"), (6, None, "w", "exact", "x", "accepted")], "id int, supersedes int, term string, relation string, target string, state string")
+    terms = frame([("t", "k"), ("u", "k"), ("v", "k"), ("w", "k")], "term string, kind string")
+    targets = frame([("x", "k", False), ("y", "other", False), ("old", "k", True)], "target string, kind string, deprecated boolean")
+    judged = mappings.eligibility(given, terms, targets)
+    assert rows(judged, "id", "findings", "eligible") == [(2, "KIND_MISMATCH,CONFLICT", False), (3, "KIND_MISMATCH,CONFLICT", False), (4, "TARGET_MISSING", False), (5, "TARGET_DEPRECATED", False), (6, "", True)]
+    policy = frame([("p", 1), ("p", 2), ("p", 3), ("p", 6), ("p", 9)], "policy string, mapping int")
+    assert rows(mappings.policy_issues(policy, given, judged), "mapping", "code") == [(1, "MAPPING_SUPERSEDED"), (2, "MAPPING_NOT_ELIGIBLE"), (2, "TERM_REPEATED"), (3, "MAPPING_NOT_ELIGIBLE"), (3, "TERM_REPEATED"), (9, "MAPPING_MISSING")]
+
+
+def test_fitted_context_keeps_seeds_and_drops_edges_first(spark):
+    context = spark.createDataFrame([("s", 0), ("a", 1), ("b", 2)], "id string, hop int")
+    edges = spark.createDataFrame([("s", "a", "cites"), ("a", "b", "cites"), ("b", "z", "cites")], "src string, dst string, rel string")
+    fitted = lambda budget: rows(graph.fitted_context(context, edges, F.lit(10), F.lit(4), budget), "kind", "id", "other")
+    assert fitted(38) == [("edge", "a", "b"), ("edge", "s", "a"), ("node", "a", None), ("node", "b", None), ("node", "s", None)]
+    assert fitted(34) == [("edge", "s", "a"), ("node", "a", None), ("node", "b", None), ("node", "s", None)]
+    assert fitted(24) == [("edge", "s", "a"), ("node", "a", None), ("node", "s", None)]
+    assert fitted(5) == [("node", "s", None)]
