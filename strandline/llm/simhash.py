@@ -44,7 +44,7 @@ STEP = 1 << 15
 CHUNK = 2048
 #: 64-bit words of a long fingerprint; its overlapping blocks and their bits; members of a chunk of these.
 LONG_WORDS = 4
-BLOCKS, WIDTH = 192, 28
+BLOCKS, WIDTH = 96, 28
 LONG_CHUNK = 8192
 
 
