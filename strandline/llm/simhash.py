@@ -13,7 +13,8 @@ a cell compares its members with vector instructions and returns a spanning
 forest of its links, never all pairs.  Links then go through ``components``.
 
 ``near_duplicates`` links at a few differing bits.  ``keep_first`` links by the
-similarity of shingle sets, which takes a longer fingerprint and more blocks.
+similarity of shingle sets: candidates by prefix filtering, which holds every pair
+at the bound, and each checked on the sets.
 
 Cases: a null or empty text, or one of blanks only, has fingerprint zero and
 links like any other; fewer words than a shingle form one shingle; repeated rows
@@ -22,7 +23,6 @@ each keep their row; further columns are kept and clashing ones are replaced.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,10 +42,16 @@ SEED = 42
 STEP = 1 << 15
 #: Members of a chunk; a cell holds two chunks at most.
 CHUNK = 2048
-#: 64-bit words of a long fingerprint; its overlapping blocks and their bits; members of a chunk of these.
-LONG_WORDS = 4
-BLOCKS, WIDTH = 96, 28
-LONG_CHUNK = 8192
+#: Sets of a chunk that share a shingle; sets of it that the others are compared with first.
+LONG_CHUNK = 2048
+CENTRES = 3
+#: Rounding must not lose a pair at the bound itself.
+SLACK = 1e-6
+#: The sample that tells common shingles: its rows and share at least; sets that hold a common one; how many are kept.
+SAMPLE_ROWS, SAMPLE_SHARE = 20_000, 0.2
+COMMON_FROM, MAX_COMMON = 8, 200_000
+#: Keys up to which they are broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -163,121 +169,139 @@ def op5_simhash(documents: DataFrame) -> DataFrame:
 # -- near copies by similarity ---------------------------------------------------------
 
 
-def long_fingerprint(text: str | None, words_per_shingle: int = 5) -> bytes:
-    """A fingerprint of ``LONG_WORDS`` 64-bit words over *distinct* shingles, so that it speaks of sets."""
+def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes, in order."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8 * LONG_WORDS)
+        return np.zeros(0, dtype=np.uint64)
     k = min(words_per_shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.fromiter((digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)), dtype=np.uint64, count=len(words) - k + 1))
-    ones = np.zeros(64 * LONG_WORDS, dtype=np.int64)
-    for at in range(0, len(hashes), STEP):
-        part = hashes[at : at + STEP]
-        wide = np.stack([_mixed(part, turn) for turn in range(LONG_WORDS)], axis=1).astype(">u8")
-        ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)), dtype=np.uint64, count=len(words) - k + 1))
 
 
-def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
-    """Further independent hashes from one, by the splitmix64 finaliser."""
-    z = h + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets this similar or more, the first so many members of each, in any common order, share one."""
+    return n - math.ceil(similarity * n - SLACK) + 1 if n else 0
 
 
-def most_bits(similarity: float, n_bits: int = 64 * LONG_WORDS) -> int:
-    """Bits that sets of this Jaccard similarity differ in, on average and half a deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(n_bits * share + 0.5 * math.sqrt(n_bits * share * (1 - share)))
-
-
-@functools.lru_cache(maxsize=4)
-def block_places(blocks: int, width: int) -> np.ndarray:
-    """Overlapping blocks: for each, ``width`` bit positions, the same on every machine."""
-    dealt = np.random.default_rng(SEED)
-    return np.stack([dealt.permutation(64 * LONG_WORDS)[:width] for _ in range(blocks)])
-
-
-def _folded(named: DataFrame, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
-    """``id, mark, fp`` of each row; ``fp, node`` of each distinct fingerprint, both stored."""
+def _folded(named: DataFrame, words_per_shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``id, mark, fp`` of each row, ``fp`` a 128-bit hash of its set; ``fp, node`` and ``node, hashes`` of each distinct set; all stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [long_fingerprint(t.as_py(), words_per_shingle) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(prints, pa.binary())], names=["id", "mark", "fp"])
+            found = [shingle_set(t.as_py(), words_per_shingle) for t in batch.column("text")]
+            prints = [xxhash.xxh3_128_digest(s.astype("<u8").tobytes(), SEED) for s in found]
+            hashes = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(prints, pa.binary()), hashes], names=["id", "mark", "fp", "hashes"])
 
-    schema = T.StructType([named.schema["id"], named.schema["mark"], T.StructField("fp", T.BinaryType())])
-    prints = written(bounded_batches(named).mapInArrow(run, schema), "long-prints")
-    nodes = written(prints.groupBy("fp").agg(F.count("*").alias("n")).select("fp", F.monotonically_increasing_id().alias("node")), "nodes")
-    return prints, nodes
+    schema = T.StructType([named.schema["id"], named.schema["mark"], T.StructField("fp", T.BinaryType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    rows = written(bounded_batches(named).mapInArrow(run, schema).withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    nodes = written(rows.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
+    repeats = written(rows.select("fp", "node").join(nodes.select("fp", F.col("node").alias("first")), "fp").where("node <> first").select("node"), "repeats")
+    sets = rows.select("node", "hashes").join(_small(repeats), "node", "left_anti")
+    return rows.select("id", "mark", "fp"), nodes, sets
 
 
-def similar(nodes: DataFrame, most: int, blocks: int = BLOCKS, width: int = WIDTH) -> DataFrame:
-    """``fp, node`` to edges ``(u, v)`` of nodes: a spanning forest of each block's links of at most ``most`` bits."""
+def _small(keys: DataFrame) -> DataFrame:
+    """Stored keys, to be broadcast if a count shows that they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = block_places(blocks, width)
-        powers = 1 << np.arange(width, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1), axis=1)
-            keys = np.stack([bits[:, at] @ powers + (block << width) for block, at in enumerate(places)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), blocks)))], names=["key", "node"])
-
-    filed = bounded_batches(nodes.select("fp", "node")).mapInArrow(file, "key long, node long")
-    many = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / LONG_CHUNK).cast("int").alias("chunks"))
-    dealt = (
-        filed.join(many, "key")
-        .join(nodes, "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.collect_list(F.struct("node", "fp")).alias("members"))
-        .where(F.size("members") > 1)
-        .select("members")
-    )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for members in batch.column(0):
-                own = members.values
-                prints = np.frombuffer(b"".join(own.field("fp").to_pylist()), dtype=np.uint64).reshape(-1, LONG_WORDS)
-                found += long_forest(own.field("node").to_numpy(zero_copy_only=False), prints, most)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["u", "v"])
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """Hashes that many sets of a sample hold, sorted. They only come last in the order of shingles, so the sample decides on cost and never on a result."""
+    total = sets.count()
+    share = max(SAMPLE_SHARE, min(1.0, SAMPLE_ROWS / max(total, 1)))
+    drawn = sets.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * share))
+    counted = written(drawn.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM), "common-shingles")
+    least = COMMON_FROM
+    while counted.where(F.col("n") >= least).count() > MAX_COMMON:
+        least *= 2
+    return np.sort(np.array([r["h"] for r in counted.where(F.col("n") >= least).select("h").collect()], dtype=np.int64))
 
-    return bounded_batches(dealt).mapInArrow(compare, "u long, v long")
 
+def filed_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, hashes`` to ``h, node, size, at``: each set under the members of its prefix, ``at`` counted from 1; common shingles come last."""
+    common = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
 
-def long_forest(nodes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Star edges of each group that links join, as ``cell_forest`` for long fingerprints."""
-    left, edges = np.arange(len(nodes)), []
-    while left.size:
-        root, left = left[0], left[1:]
-        frontier = [root]
-        while frontier and left.size:
-            near = np.bitwise_count(prints[left] ^ prints[frontier.pop()]).sum(axis=1) <= most
-            if near.any():
-                hits, left = left[near], left[~near]
-                frontier += hits.tolist()
-                edges += [(int(nodes[x]), int(nodes[root])) for x in hits]
-    return edges
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = common.value
+        for batch in batches:
+            keys, owners, sizes, places = [], [], [], []
+            for node, members in zip(batch.column("node").to_pylist(), batch.column("hashes"), strict=True):
+                own = members.values.to_numpy(zero_copy_only=False)
+                if not (n := prefix_length(len(own), similarity)):
+                    continue
+                found = np.searchsorted(last, own)
+                is_last = last[np.minimum(found, len(last) - 1)] == own if len(last) else np.zeros(len(own), dtype=bool)
+                keys.append(own[np.lexsort((own, is_last))[:n]])
+                owners.append(np.full(n, node, dtype=np.int64))
+                sizes.append(np.full(n, len(own), dtype=np.int32))
+                places.append(np.arange(1, n + 1, dtype=np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, sizes, places)], names=["h", "node", "size", "at"])
+
+    return bounded_batches(sets.select("node", "hashes")).mapInArrow(run, "h long, node long, size int, at int")
+
+
+def _may_link(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes and the places of a shared shingle admit the similarity; true for the first shingle that similar sets share."""
+    size, other, at, place = (F.col(f"{x}.{c}") for c in ("size", "at") for x in (a, b))
+    least = similarity / (1 + similarity) * (size + other)
+    return (F.least(size, other) >= similarity * F.greatest(size, other) - SLACK) & (1 + F.least(size - at, other - place) >= least - SLACK)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(u, v)`` whose sets are as similar as ``similarity``."""
+    ends = written(pairs.distinct(), "pairs")
+    needed = ends.select(F.col("u").alias("node")).union(ends.select("v")).distinct()
+    own = written(sets.join(needed, "node", "left_semi").select("node", "hashes"), "paired-sets")
+    left, right = own.toDF("u", "left"), own.toDF("v", "right")
+    both = F.size(F.array_intersect("left", "right"))
+    met = ends.join(left, "u").join(right, "v").select("u", "v", both.alias("both"), (F.size("left") + F.size("right") - both).alias("either"))
+    return met.where(F.col("both") >= F.lit(similarity) * F.col("either")).select("u", "v")
+
+
+def similar(sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, hashes`` (distinct sets) to ``node, component`` by all links of this similarity or more; nodes without a link are left out.
+
+    Sets this similar share a member of their prefixes, so no link is lost.  A shingle
+    of two sets gives a pair.  One of more first gives pairs with a few of its sets,
+    which join what is near; then every pair that is not in one component yet.
+    """
+    filed = written(filed_prefixes(sets, similarity), "prefixes")
+    row, ends = F.struct("node", "size", "at"), (F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+    met = filed.groupBy("h").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("node", "size") for f in (F.min, F.max)))
+    met = written(met.where("n > 1"), "met")
+    twos = met.where((F.col("n") == 2) & (F.col("min_size") >= similarity * F.col("max_size") - SLACK)).select(F.col("min_node").alias("u"), F.col("max_node").alias("v"))
+    hot = written(filed.join(_small(met.where("n > 2").select("h", "n")), "h"), "shared-prefixes")
+    centres = hot.groupBy("h").agg(*(F.min_by(row, F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)))
+    stars = hot.select("h", row.alias("a")).join(centres, "h").select("a", F.explode(F.array(*(f"c{k}" for k in range(CENTRES)))).alias("b"))
+    near = verified(twos.union(stars.where((F.col("a.node") != F.col("b.node")) & _may_link("a", "b", similarity)).select(*ends)), sets, similarity)
+    near = written(near, "links")
+    groups = written(components(near), "groups")
+    placed = hot.join(groups, "node", "left").select("h", "n", "node", "size", "at", F.coalesce("component", "node").alias("component"))
+    # Every set meets every other once: those of a shingle are dealt into chunks, and each two chunks meet.
+    mixed = placed.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
+    chunks = F.ceil(F.col("n") / LONG_CHUNK).cast("int")
+    open_ = written(placed.join(mixed, "h", "left_semi").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "open-prefixes")
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    rest = a.join(b, meet & _may_link("a", "b", similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    return components(near.union(verified(rest, sets, similarity)))
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies stays: that with the least id, nulls last; of rows with one id and text, one.
 
-    Copies are texts whose sets of shingles are as similar as ``similarity``, judged by
-    long fingerprints.  These differ in too many bits for whole blocks to hold every
-    pair, so they meet in overlapping blocks, which all but a few per cent of the pairs
-    at the bound itself share.  The texts move once: both joins and the repeats use the same keys.
+    Copies are texts whose sets of distinct shingles have a Jaccard similarity of
+    ``similarity`` or more, and what a chain of these joins.  All such pairs are found
+    and each is checked on the sets themselves.
+    The texts move once: both joins and the repeats use the same keys.
     """
     named = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    prints, nodes = _folded(named, words_per_shingle)
-    groups = components(similar(nodes, most_bits(similarity)))
+    prints, nodes, sets = _folded(named, words_per_shingle)
+    groups = similar(sets, similarity)
     placed = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     keyed = lambda df, of: df.withColumns({"__id": F.coalesce(F.col(of), F.lit(0).cast(df.schema[of].dataType)), "__none": F.col(of).isNull()})
     least = prints.join(placed, "fp").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("x")).select("x.id", F.col("x.mark").alias("__mark"))

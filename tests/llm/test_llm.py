@@ -141,6 +141,33 @@ def test_keep_first_is_brute_force_on_similar_texts(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == firsts
 
 
+def at_similarity(dealt, n, changes):
+    """Two texts of ``n`` words; ``changes`` words apart from one another are changed in the second."""
+    base = [f"w{dealt.randrange(10**6)}" for _ in range(n)]
+    copy = list(base)
+    for at in dealt.sample(range(5, n - 5, 5), changes):
+        copy[at] = f"w{dealt.randrange(10**6)}"
+    return base, copy
+
+
+def test_keep_first_links_all_pairs_at_the_bar(spark):
+    dealt, texts, twins = random.Random(11), [], []
+    for _ in range(80):  # 200 five-word shingles, of which 20 are changed: 180 of 220 are shared, 0.818
+        base, copy = at_similarity(dealt, 204, 4)
+        twins.append(len(texts) + 1)
+        texts += [base, copy]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted(set(range(len(texts))) - set(twins))
+
+
+def test_prefixes_of_similar_sets_meet():
+    for n in range(1, 200):
+        for m in range(n, 200):
+            shared = next(k for k in range(m + 1) if k >= 0.8 * (n + m - k))
+            if shared <= n:  # the least overlap at the bar, all of it last in both
+                assert simhash.prefix_length(n, 0.8) + shared > n and simhash.prefix_length(m, 0.8) + shared > m
+
+
 def test_cells_and_masks():
     import numpy as np
 
