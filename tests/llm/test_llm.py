@@ -160,6 +160,17 @@ def test_keep_first_links_all_pairs_at_the_bar(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted(set(range(len(texts))) - set(twins))
 
 
+def test_keep_first_keeps_texts_below_the_bar(spark):
+    dealt, texts, firsts = random.Random(13), [], []
+    for changes in (2, 3, 4, 5, 6, 7):  # five-word similarity 0.9, 0.86, 0.82, 0.78, 0.74 and 0.7
+        for _ in range(20):
+            base, copy = at_similarity(dealt, 204, changes)
+            firsts += [len(texts)] + [len(texts) + 1] * (changes > 4)
+            texts += [base, copy]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == firsts
+
+
 def test_prefixes_of_similar_sets_meet():
     for n in range(1, 200):
         for m in range(n, 200):
