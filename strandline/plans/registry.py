@@ -501,6 +501,13 @@ def rule_closure(s, d):
     return rules.fixpoint({("feeds", True): feeds}, _RULES[:2])["affects", True]
 
 
+@query(f"""WITH RECURSIVE {t.EDGES_SQL}, f AS (SELECT DISTINCT up AS a, down AS b FROM deps), w AS (SELECT a, b FROM f UNION SELECT w.a, f.b FROM w JOIN f ON f.a = w.b) SELECT * FROM w""")
+def rule_closure_all(s, d):
+    """The closure over all dependencies; ``rule_closure`` leaves out those of orders, as its SQL does."""
+    feeds = _deps(s, d).select(F.col("up").alias("a"), F.col("down").alias("b"))
+    return rules.fixpoint({("feeds", True): feeds}, _RULES[:2])["affects", True]
+
+
 @query("""WITH y AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 300000) SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 AND c_custkey IN (FROM y) THEN 'conflict' WHEN c_custkey IN (FROM y) THEN 'derivable' WHEN c_acctbal < 0 THEN 'refutable' ELSE 'unknown' END AS state FROM customer""")
 def rule_states(s, d):
     c = t.table(s, d, "customer")

@@ -43,3 +43,8 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_closure_ends_in_orders(spark):
+    ends = registry.QUERIES["rule_closure_all"](spark, SF).where("b LIKE 'orders:%'")
+    assert {r.kind for r in ends.selectExpr("split(a, ':')[0] AS kind").distinct().collect()} == {"region", "nation", "customer", "part"}
