@@ -195,6 +195,16 @@ def check_upstream_stale(s, d):
     return checks.upstream_stale(t.nodes(s, d), _deps(s, d), dirty)
 
 
+@query(f"""WITH RECURSIVE {GRAPH}, dirty AS (SELECT DISTINCT b.id FROM bindings b JOIN nodes n ON n.id = b.id WHERE status = 'current' AND value <> CASE concept WHEN 'market' THEN 'BUILDING' ELSE 'Brand#11' END),
+walk AS (SELECT id AS root, id FROM dirty UNION SELECT root, down FROM walk JOIN deps ON up = walk.id)
+SELECT 'warning' AS severity, 'UPSTREAM_STALE' AS code, w.id AS node_id, min(root) AS detail FROM walk w JOIN nodes n ON n.id = w.id
+WHERE w.id <> root AND status NOT IN ('deprecated', 'retracted', 'dead_end', 'superseded', 'planned') GROUP BY w.id""")
+def check_upstream_stale_all(s, d):
+    """Below every node that ``check_silent_drift`` reports; ``check_upstream_stale`` takes one brand, as its SQL does."""
+    dirty = check_silent_drift(s, d).select(F.col("node_id").alias("id")).distinct()
+    return checks.upstream_stale(t.nodes(s, d), _deps(s, d), dirty)
+
+
 @query(f"""WITH {GRAPH}, files AS (SELECT 'orders:' || o_orderkey AS id, epoch(o_orderdate) AS mtime FROM orders
   UNION ALL SELECT 'part:' || l_partkey, max(epoch(l_shipdate)) FROM lineitem GROUP BY l_partkey)
 SELECT 'error' AS severity, 'STALE_RENDER' AS code, down AS node_id, min(up) AS detail FROM deps JOIN files f ON f.id = up JOIN files g ON g.id = down WHERE f.mtime > g.mtime + 2 GROUP BY down""")
@@ -537,9 +547,19 @@ def release_diff(s, d):
 
 @query("""SELECT s_suppkey AS id, CASE WHEN s_acctbal > 5000 THEN 'replaced' ELSE 'kept' END AS note FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT -1 - c_custkey, 'added' FROM customer WHERE c_custkey <= 20""")
 def graph_change_apply(s, d):
+    return _changed(s, d, t.table(s, d, "customer").where("c_custkey <= 20"))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_acctbal > 5000 THEN 'replaced' ELSE 'kept' END AS note FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT -1 - c_custkey, 'added' FROM customer""")
+def graph_change_apply_all(s, d):
+    """With all customers added; ``graph_change_apply`` adds twenty, as its SQL does."""
+    return _changed(s, d, t.table(s, d, "customer"))
+
+
+def _changed(s: SparkSession, d: str, added: DataFrame) -> DataFrame:
     sup = t.table(s, d, "supplier")
     base = sup.select(F.col("s_suppkey").alias("id"), F.lit("kept").alias("note"))
-    add = t.table(s, d, "customer").where("c_custkey <= 20").select((-1 - F.col("c_custkey")).alias("id"), F.lit("added").alias("note"))
+    add = added.select((-1 - F.col("c_custkey")).alias("id"), F.lit("added").alias("note"))
     return search.apply_changes(base, add, sup.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("id"), F.lit("replaced").alias("note")), sup.where("s_acctbal < 0").select(F.col("s_suppkey").alias("id")), ["id"])
 
 
