@@ -195,3 +195,25 @@ def test_fitted_context_keeps_seeds_and_drops_edges_first(spark):
     assert fitted(34) == [("edge", "s", "a"), ("node", "a", None), ("node", "b", None), ("node", "s", None)]
     assert fitted(24) == [("edge", "s", "a"), ("node", "a", None), ("node", "s", None)]
     assert fitted(5) == [("node", "s", None)]
+
+
+def test_streams_run_to_their_end(spark, tmp_path, monkeypatch):
+    from pyspark.sql.streaming.query import StreamingQuery
+
+    from strandline.streaming import pairing
+
+    wait = StreamingQuery.awaitTermination
+
+    def whole(self, timeout=None):
+        assert timeout is None
+        return wait(self)
+
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", whole)
+    events = spark.createDataFrame([(1, "2024-01-01", 7, "view", 0.0, ""), (2, "2024-01-02", 7, "purchase", 0.0, "")], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/written")
+    (tmp_path / "in").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "in/events.parquet")
+    stream = pairing.pair_stream(pairing.event_stream(spark, f"{tmp_path}/in"), "view", "purchase")
+    found = pairing.run_to_end(stream, "whole_run", f"file://{tmp_path}/state")
+    assert rows(found, "run_id", "start_id", "finish_id") == [(7, 1, 2)]
+    assert found.inputFiles() and all("/state-table/" in f for f in found.inputFiles())
