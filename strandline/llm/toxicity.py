@@ -7,7 +7,7 @@ of the id.  All counting is distributed; the driver sees lexicon entries and, to
 fit eight weights, one short feature row per sampled document.
 
 Scoring walks each word once through the product of the lexicon's trie with a
-Levenshtein automaton of one edit or one swap, made deterministic as it is
+Levenshtein automaton of one edit or one swap, in words and in stems, made deterministic as it is
 needed.  Each hit is weighed in a window of words around it: inside quotation
 marks or beside a reporting word it counts as quoted, else as direct.  A
 logistic model over direct, misspelled and quoted hits gives the score.
@@ -168,7 +168,7 @@ class Automaton:
         self.word: list[float] = [0.0]
         self.stem: list[float] = [0.0]
         self.depth: list[int] = [0]
-        self.longest: list[int] = [0]  # of the words below, for the rule on short terms
+        self.longest: list[int] = [0]  # of the terms below, for the rule on short terms
         for term, weight in lexicon.items():
             letters = term.rstrip("*")
             node, path = 0, [0]
@@ -186,8 +186,8 @@ class Automaton:
                 self.stem[node] = weight
             else:
                 self.word[node] = weight
-                for x in path:
-                    self.longest[x] = max(self.longest[x], len(letters))
+            for x in path:
+                self.longest[x] = max(self.longest[x], len(letters))
         self._reset()
 
     def _reset(self) -> None:
@@ -195,6 +195,7 @@ class Automaton:
         self.ids: dict[frozenset, int] = {frozenset(): -1, start: 0}
         self.sets = [start]
         self.moves: list[dict[str, int]] = [{}]
+        self.stems: list[tuple[float, float] | None] = [None]
 
     def _closed(self, states: set) -> set:
         """Add the states after leaving out one letter of a term."""
@@ -221,8 +222,8 @@ class Automaton:
         return frozenset(self._closed(found))
 
     def match(self, word: str) -> tuple[float, int]:
-        """``(weight, edits)`` of the best match of a lowered word; weight 0: none. An exact word, then a stem, then an edit."""
-        state, stem = 0, 0.0
+        """``(weight, edits)`` of the best match of a lowered word; weight 0: none. An exact word or stem, then either with an edit."""
+        state, stem, near = 0, 0.0, 0.0
         for c in word:
             moves = self.moves[state]
             following = moves.get(c)
@@ -236,13 +237,16 @@ class Automaton:
                     following = self.ids[reached] = len(self.sets)
                     self.sets.append(reached)
                     self.moves.append({})
+                    self.stems.append(None)
                 moves[c] = following
             if following < 0:
-                return stem, 0
+                return (near, 1) if near and not stem else (stem, 0)
             state = following
-            if reach := self._stem_at(state):
-                stem = max(stem, reach)
-        exact = fuzzy = 0.0
+            if self.stems[state] is None:
+                self.stems[state] = self._stems_at(state)
+            reach, near_reach = self.stems[state]
+            stem, near = max(stem, reach), max(near, near_reach)
+        exact, fuzzy = 0.0, near
         for node, edits, expected in self.sets[state]:
             weight = 0.0 if expected else self.word[node]
             if weight and not edits:
@@ -253,12 +257,15 @@ class Automaton:
             return max(exact, stem), 0
         return (fuzzy, 1) if fuzzy and len(word) >= FUZZY_FROM - 1 else (0.0, 0)
 
-    def _stem_at(self, state: int) -> float:
-        best = 0.0
+    def _stems_at(self, state: int) -> tuple[float, float]:
+        """The best stem that ends here, and the best long enough one that ends here with an edit."""
+        best = near = 0.0
         for node, edits, expected in self.sets[state]:
-            if not edits and not expected and self.stem[node] > best:
-                best = self.stem[node]
-        return best
+            if not expected and not edits:
+                best = max(best, self.stem[node])
+            elif not expected and self.depth[node] >= FUZZY_FROM:
+                near = max(near, self.stem[node])
+        return best, near
 
 
 def quoted(text: str, start: int, end: int, before: list[str], after: list[str]) -> bool:

@@ -259,6 +259,15 @@ def test_automaton_edits():
         assert a.match(word)[0] == 0, word
 
 
+def test_stems_take_one_edit():
+    a = toxicity.Automaton({"idiot*": 5.0, "lump*": 4.0, "schwachkopf": 3.0})
+    assert a.match("idiotische") == (5.0, 0) and a.match("lumpen") == (4.0, 0)
+    for word in ("idoit", "id1ot", "idoitische", "iidiotische", "diotische", "idxotisches"):
+        assert a.match(word) == (5.0, 1), word
+    for word in ("id10tische", "lmupen", "lunpen", "odi", "schwach"):
+        assert a.match(word)[0] == 0, word
+
+
 def test_quotation_is_not_abuse():
     a, text = toxicity.Automaton({"idiot": 5.0}), 'they wrote "what an idiot" here'
     assert toxicity.features(text, a, {})[1] == 0 and toxicity.features(text, a, {})[3] > 0
