@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import bounded_batches, written
+from strandline.llm.common import bounded_batches, drop_path, written
 from strandline.llm.components import components
 
 SEED = 42
@@ -196,10 +196,11 @@ def _folded(named: DataFrame, words_per_shingle: int) -> tuple[DataFrame, DataFr
 
     schema = T.StructType([named.schema["id"], named.schema["mark"], T.StructField("fp", T.BinaryType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
     rows = written(bounded_batches(named).mapInArrow(run, schema).withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    prints = written(rows.select("id", "mark", "fp"), "prints")
     nodes = written(rows.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
     repeats = written(rows.select("fp", "node").join(nodes.select("fp", F.col("node").alias("first")), "fp").where("node <> first").select("node"), "repeats")
     sets = rows.select("node", "hashes").join(_small(repeats), "node", "left_anti")
-    return rows.select("id", "mark", "fp"), nodes, sets
+    return prints, nodes, sets
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -219,28 +220,23 @@ def common_shingles(sets: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in counted.where(F.col("n") >= least).select("h").collect()], dtype=np.int64))
 
 
-def filed_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``node, hashes`` to ``h, node, size, at``: each set under the members of its prefix, ``at`` counted from 1; common shingles come last."""
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, hashes`` to ``node, size, prefix``, the prefix in the order of shingles: by hash, common ones last."""
     common = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
         for batch in batches:
-            keys, owners, sizes, places = [], [], [], []
-            for node, members in zip(batch.column("node").to_pylist(), batch.column("hashes"), strict=True):
+            sizes, firsts = [], []
+            for members in batch.column("hashes"):
                 own = members.values.to_numpy(zero_copy_only=False)
-                if not (n := prefix_length(len(own), similarity)):
-                    continue
                 found = np.searchsorted(last, own)
                 is_last = last[np.minimum(found, len(last) - 1)] == own if len(last) else np.zeros(len(own), dtype=bool)
-                keys.append(own[np.lexsort((own, is_last))[:n]])
-                owners.append(np.full(n, node, dtype=np.int64))
-                sizes.append(np.full(n, len(own), dtype=np.int32))
-                places.append(np.arange(1, n + 1, dtype=np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, sizes, places)], names=["h", "node", "size", "at"])
+                sizes.append(len(own))
+                firsts.append(own[np.lexsort((own, is_last))[: prefix_length(len(own), similarity)]])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["node", "size", "prefix"])
 
-    return bounded_batches(sets.select("node", "hashes")).mapInArrow(run, "h long, node long, size int, at int")
+    return bounded_batches(sets.select("node", "hashes")).mapInArrow(run, "node long, size int, prefix array<long>")
 
 
 def _may_link(a: str, b: str, similarity: float) -> Column:
@@ -250,15 +246,26 @@ def _may_link(a: str, b: str, similarity: float) -> Column:
     return (F.least(size, other) >= similarity * F.greatest(size, other) - SLACK) & (1 + F.least(size - at, other - place) >= least - SLACK)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``(u, v)`` whose sets are as similar as ``similarity``."""
-    ends = written(pairs.distinct(), "pairs")
-    needed = ends.select(F.col("u").alias("node")).union(ends.select("v")).distinct()
-    own = written(sets.join(needed, "node", "left_semi").select("node", "hashes"), "paired-sets")
-    left, right = own.toDF("u", "left"), own.toDF("v", "right")
-    both = F.size(F.array_intersect("left", "right"))
-    met = ends.join(left, "u").join(right, "v").select("u", "v", both.alias("both"), (F.size("left") + F.size("right") - both).alias("either"))
-    return met.where(F.col("both") >= F.lit(similarity) * F.col("either")).select("u", "v")
+def _paired(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)``, each with the two rows ``a`` and ``b`` of the table; only rows that are asked for move."""
+    needed = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "paired-nodes")
+    own = written(table.join(_small(needed), "node", "left_semi"), "paired-rows").select("node", F.struct(*table.columns).alias("x"))
+    return pairs.join(own.toDF("u", "a"), "u").join(own.toDF("v", "b"), "v")
+
+
+def verified(pairs: DataFrame, firsts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(u, v)`` whose sets are as similar as ``similarity``.
+
+    Similar sets differ in few members, so the prefix that ends first is shared but for
+    these; a pair that falls short of that is out before whole sets are compared.
+    """
+    met = _paired(written(pairs.distinct(), "pairs"), firsts)
+    least = F.ceil(similarity / (1 + similarity) * (F.col("a.size") + F.col("b.size")) - SLACK)
+    share = F.least(F.size("a.prefix") - F.col("a.size"), F.size("b.prefix") - F.col("b.size")) + least
+    likely = written(met.where(F.size(F.array_intersect("a.prefix", "b.prefix")) >= share).select("u", "v"), "likely-pairs")
+    both = F.size(F.array_intersect("a.hashes", "b.hashes"))
+    known = _paired(likely, sets).select("u", "v", both.alias("both"), (F.size("a.hashes") + F.size("b.hashes") - both).alias("either"))
+    return known.where(F.col("both") >= F.lit(similarity) * F.col("either")).select("u", "v")
 
 
 def similar(sets: DataFrame, similarity: float) -> DataFrame:
@@ -268,7 +275,8 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     of two sets gives a pair.  One of more first gives pairs with a few of its sets,
     which join what is near; then every pair that is not in one component yet.
     """
-    filed = written(filed_prefixes(sets, similarity), "prefixes")
+    firsts = written(prefixes(sets, similarity), "prefixes")
+    filed = firsts.select("node", "size", F.posexplode("prefix").alias("before", "h")).select("h", "node", "size", (F.col("before") + 1).alias("at"))
     row, ends = F.struct("node", "size", "at"), (F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
     met = filed.groupBy("h").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("node", "size") for f in (F.min, F.max)))
     met = written(met.where("n > 1"), "met")
@@ -276,7 +284,7 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     hot = written(filed.join(_small(met.where("n > 2").select("h", "n")), "h"), "shared-prefixes")
     centres = hot.groupBy("h").agg(*(F.min_by(row, F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)))
     stars = hot.select("h", row.alias("a")).join(centres, "h").select("a", F.explode(F.array(*(f"c{k}" for k in range(CENTRES)))).alias("b"))
-    near = verified(twos.union(stars.where((F.col("a.node") != F.col("b.node")) & _may_link("a", "b", similarity)).select(*ends)), sets, similarity)
+    near = verified(twos.union(stars.where((F.col("a.node") != F.col("b.node")) & _may_link("a", "b", similarity)).select(*ends)), firsts, sets, similarity)
     near = written(near, "links")
     groups = written(components(near), "groups")
     placed = hot.join(groups, "node", "left").select("h", "n", "node", "size", "at", F.coalesce("component", "node").alias("component"))
@@ -288,7 +296,7 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     a, b = dealt.alias("a"), dealt.alias("b")
     meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
     rest = a.join(b, meet & _may_link("a", "b", similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    return components(near.union(verified(rest, sets, similarity)))
+    return components(near.union(verified(rest, firsts, sets, similarity)))
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -302,6 +310,8 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     prints, nodes, sets = _folded(named, words_per_shingle)
     groups = similar(sets, similarity)
+    for path in {f.rsplit("/", 1)[0] for f in sets.inputFiles() if "/shingle-sets-" in f}:  # large, and the texts move next
+        drop_path(documents.sparkSession, path)
     placed = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     keyed = lambda df, of: df.withColumns({"__id": F.coalesce(F.col(of), F.lit(0).cast(df.schema[of].dataType)), "__none": F.col(of).isNull()})
     least = prints.join(placed, "fp").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("x")).select("x.id", F.col("x.mark").alias("__mark"))
