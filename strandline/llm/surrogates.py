@@ -172,6 +172,11 @@ def resolve(found: DataFrame, key: bytes, max_rounds: int = 16) -> DataFrame:
             break
         again = _assigned(marked.where("again").withColumn("attempt", (F.col("attempt") + 1).cast("int")), key)
         current = written(marked.where("not again").drop("again").union(again), "surrogates")
+    else:
+        shared = current.groupBy("kind", "surrogate").agg(F.count("*").alias("n"))
+        left = current.join(shared, ["kind", "surrogate"]).where("n > 1 OR surrogate = entity").select("kind", "entity").take(MAX_EXCEPTIONS)
+        if any(surrogate(r["kind"], r["entity"], key, k) != r["entity"] for r in left for k in range(max_rounds + 1)):
+            raise RuntimeError(f"surrogates did not settle within {max_rounds} rounds")
     return current
 
 

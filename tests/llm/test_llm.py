@@ -335,6 +335,15 @@ def test_permutations_are_permutations_and_collisions_are_resolved(spark):
     assert len({r.surrogate for r in got}) == len(mails) and all(r.surrogate != r.entity for r in got)
 
 
+def test_surrogates_that_do_not_settle_are_an_error(spark):
+    names = [("name", f"Mr {c}b") for c in "AEIOU"]  # all values of their format: one that falls on itself has nowhere to go
+    key = next(k for k in (b"%d" % i for i in range(100)) if any(surrogates.surrogate("name", e, k) == e for _, e in names))
+    with pytest.raises(RuntimeError, match="settle"):
+        surrogates.resolve(spark.createDataFrame(names, "kind string, entity string"), key, max_rounds=3).count()
+    fixed = surrogates.resolve(spark.createDataFrame([("name", "Mr Éa")], "kind string, entity string"), key, max_rounds=3)
+    assert [r.surrogate for r in fixed.collect()] == ["Mr Éa"]  # no other value
+
+
 def test_pipeline_stages(spark, tables):
     import corpus_pipeline as c
 
