@@ -12,7 +12,6 @@ an input column that bears an output's name is replaced.
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import bounded_batches
+from strandline.llm.common import bounded_batches, trim, worker_table
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters after which a text is cut at the next safe boundary.
@@ -85,10 +84,9 @@ def safe_parts(text: str, size: int) -> Iterator[str]:
         yield text[start:]
 
 
-@functools.lru_cache(maxsize=2)
 def codec(ranks_path: str) -> Codec:
-    """One codec per Python worker and rank file."""
-    return Codec(ranks_path)
+    """One codec per Python worker."""
+    return worker_table(("codec", ranks_path), lambda: Codec(ranks_path))
 
 
 def _with(df: DataFrame, fields: list[tuple[str, T.DataType]], of: str, function) -> DataFrame:
@@ -101,6 +99,7 @@ def _with(df: DataFrame, fields: list[tuple[str, T.DataType]], of: str, function
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch.column(at))], names=names)
+        trim()
 
     return bounded_batches(base).mapInArrow(run, schema)
 

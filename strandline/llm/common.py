@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +17,11 @@ BLANKS = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a local session that names none gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -42,10 +47,39 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     Sets the session's Arrow batch limits, which Spark reads when it plans the query.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
     return df
 
 
+_kept: dict[Hashable, object] = {}
+
+
+def worker_table(key: Hashable, build: Callable[[], object]):
+    """What ``build`` makes, kept in this Python worker until a table of another key is asked for: workers outlive their tasks and the operators that they served."""
+    if key not in _kept:
+        release_tables()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def release_tables() -> None:
+    """Forget the kept table and hand free memory back to the system."""
+    _kept.clear()
+    trim()
+
+
+def trim() -> None:
+    """Hand free memory back: allocators keep what a very long text has taken."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system interface."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

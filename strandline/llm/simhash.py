@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import bounded_batches, drop_path, written
+from strandline.llm.common import bounded_batches, drop_path, release_tables, trim, written
 from strandline.llm.components import components
 
 SEED = 42
@@ -80,9 +80,11 @@ def with_fingerprints(df: DataFrame, text_col: str = "text", words_per_shingle:
     names = [*kept, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
         for batch in batches:
             prints = [fingerprint(t.as_py(), words_per_shingle) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(prints, pa.int64())], names=names)
+        trim()
 
     return bounded_batches(base).mapInArrow(run, schema)
 
@@ -188,11 +190,13 @@ def _folded(named: DataFrame, words_per_shingle: int) -> tuple[DataFrame, DataFr
     """``id, mark, fp`` of each row, ``fp`` a 128-bit hash of its set; ``fp, node`` and ``node, hashes`` of each distinct set; all stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
         for batch in batches:
             found = [shingle_set(t.as_py(), words_per_shingle) for t in batch.column("text")]
             prints = [xxhash.xxh3_128_digest(s.astype("<u8").tobytes(), SEED) for s in found]
             hashes = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(prints, pa.binary()), hashes], names=["id", "mark", "fp", "hashes"])
+        trim()
 
     schema = T.StructType([named.schema["id"], named.schema["mark"], T.StructField("fp", T.BinaryType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
     rows = written(bounded_batches(named).mapInArrow(run, schema).withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
@@ -235,6 +239,7 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
                 sizes.append(len(own))
                 firsts.append(own[np.lexsort((own, is_last))[: prefix_length(len(own), similarity)]])
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["node", "size", "prefix"])
+        trim()
 
     return bounded_batches(sets.select("node", "hashes")).mapInArrow(run, "node long, size int, prefix array<long>")
 

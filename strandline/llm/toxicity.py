@@ -1,10 +1,12 @@
 """Operator 7: toxicity by Levenshtein automata over a lexicon trie.
 
 The lexicon is learned from labelled rows: words, and stems (word beginnings)
-for languages that compound, whose documents are mostly toxic.  It is bounded by
-``max_terms``; the rows that it is learned from by ``max_rows``, drawn by a hash
-of the id.  All counting is distributed; the driver sees lexicon entries and, to
-fit eight weights, one short feature row per sampled document.
+for languages that compound, whose documents are mostly toxic.  The rows that it
+is learned from are bounded by ``max_rows``, drawn by a hash of the id; a term
+must occur in a fixed share of the toxic ones, which bounds the lexicon too.  All
+counting is distributed; the driver sees lexicon entries and, to fit eight
+weights, one short feature row per sampled document, in a fixed order, so that
+the model does not depend on how the tables are partitioned.
 
 Scoring walks each word once through the product of the lexicon's trie with a
 Levenshtein automaton of one edit or one swap, in words and in stems, made deterministic as it is
@@ -15,7 +17,7 @@ logistic model over direct, misspelled and quoted hits gives the score.
 The weights are fitted with lexicons of the *other* half of the rows, so that a
 term does not vouch for the document that it was learned from.
 
-Cases: null and empty texts have no words and get the score of a document
+Cases: words over 64 letters are never terms; null and empty texts have no words and get the score of a document
 without hits; no labels at all give score 0 throughout; several labels of one id
 count by their maximum; repeated rows each keep their row.  Inputs of a score are
 the text only.
@@ -23,7 +25,7 @@ the text only.
 
 from __future__ import annotations
 
-import functools
+import bisect
 import math
 import re
 from collections import Counter
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bounded_batches, written
+from strandline.llm.common import bounded_batches, trim, worker_table, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of the stems that are considered.
@@ -45,9 +47,11 @@ FUZZY_FROM = 5
 WINDOW = 4
 #: Words that report what somebody else said. Fixed values.
 REPORTING = frozenset("said says say called calls call quoted quote wrote word term sagte sagt wort nannte dit mot dijo dice palabra".split())
-QUOTES = "\"“”„«»‘’'"
+#: Marks of quotations; apostrophes are none.
+QUOTE = re.compile("[\"“”„«»‘]")
 MAX_ROWS = 40_000
-MAX_TERMS = 20_000
+#: Longer words are no terms.
+LONGEST = 64
 #: Words whose match a worker remembers.
 MEMO = 60_000
 #: Features of a document; the last two need the length alone.
@@ -66,7 +70,8 @@ def terms_of(text: str) -> set[str]:
     found = set()
     for word in set(WORD.findall(text.lower())):
         if len(word) >= 3:
-            found.add(word[:40])
+            if len(word) <= LONGEST:
+                found.add(word)
             found.update(f"{word[:k]}*" for k in STEMS if k < len(word))
     return found
 
@@ -101,7 +106,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, max_rows: int) -> D
     at = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000))
     chosen = usable.where(at < int(1_000_000 * min(1.0, max_rows / max(total, 1))))
     half = F.pmod(F.xxhash64(F.col(id_col), F.lit("half")), F.lit(2)).cast("int")
-    return docs.select(id_col, "text").join(F.broadcast(chosen), id_col).select("text", F.col("toxic").cast("int").alias("toxic"), half.alias("half")).dropDuplicates(["text", "toxic"])
+    marked = docs.select(id_col, "text").join(F.broadcast(chosen), id_col).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), half.alias("half"))
+    return marked.groupBy("text", "toxic").agg(F.min("half").alias("half"))  # the least, so that a copy's half does not depend on the order of rows
 
 
 def choose(n1: int, n0: int, total1: int, total0: int) -> float:
@@ -112,14 +118,15 @@ def choose(n1: int, n0: int, total1: int, total0: int) -> float:
     return ratio if ratio >= 2.0 and n1 >= 2 * n0 else 0.0
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[int, dict[str, float]]:
+def learn_lexicon(rows: DataFrame) -> dict[int, dict[str, float]]:
     """Three lexicons, term to weight: of half 0, of half 1, and of both (2)."""
     totals = Counter()
     for r in rows.groupBy("half", "toxic").count().collect():
         totals[r["half"], r["toxic"]] = r["count"]
     least = max(3, math.ceil(0.004 * (totals[0, 1] + totals[1, 1])))
     toxic = _counted(rows.where("toxic = 1"), None).groupBy("term").agg(F.sum(F.when(F.col("half") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("half") == 1, F.col("n")).otherwise(0)).alias("b"))
-    kept = toxic.where(F.col("a") + F.col("b") >= least).orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(4 * max_terms).collect()
+    # Terms of a fixed share of at most max_rows documents: their number is bounded by the sample.
+    kept = sorted(toxic.where(F.col("a") + F.col("b") >= least).collect(), key=lambda r: r["term"])
     candidates = frozenset(r["term"] for r in kept)
     clean: Counter[tuple[str, int]] = Counter()
     for r in _counted(rows.where("toxic = 0"), candidates).collect():  # two rows for each candidate at most
@@ -133,7 +140,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[int, dict
             if weight := choose(n1, n0, total1, total0):
                 weights[r["term"]] = weight
         short = _pruned(weights, {r["term"]: (r["a"], r["b"], r["a"] + r["b"])[which] for r in kept})
-        out[which] = dict(sorted(short.items(), key=lambda x: (-x[1], x[0]))[:max_terms])
+        out[which] = dict(sorted(short.items(), key=lambda x: (-x[1], x[0])))
     return out
 
 
@@ -268,14 +275,27 @@ class Automaton:
         return best, near
 
 
-def quoted(text: str, start: int, end: int, before: list[str], after: list[str]) -> bool:
+class Marks:
+    """Where a text's quotation marks and line feeds are."""
+
+    def __init__(self, text: str):
+        self.quotes = [m.start() for m in QUOTE.finditer(text)]
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+
+    def around(self, start: int, end: int) -> bool:
+        """Whether the span stands within a pair of quotation marks on its line: an odd number of marks before it and one after."""
+        k = bisect.bisect_left(self.breaks, start)
+        left = self.breaks[k - 1] if k else -1
+        k = bisect.bisect_left(self.breaks, end)
+        right = self.breaks[k] if k < len(self.breaks) else math.inf
+        at = bisect.bisect_left(self.quotes, start)
+        after = bisect.bisect_left(self.quotes, end)
+        return (at - bisect.bisect_right(self.quotes, left)) % 2 == 1 and after < len(self.quotes) and self.quotes[after] < right
+
+
+def quoted(marks: Marks, start: int, end: int, before: list[str], after: list[str]) -> bool:
     """Whether a hit is cited: within a pair of quotation marks on its line, or beside a reporting word."""
-    left, right = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-    left, right = max(left, start - 80), min(len(text) if right < 0 else right, end + 80)
-    marks = lambda part: sum(part.count(q) for q in QUOTES if q != "'" and q != "’")
-    if marks(text[left:start]) % 2 == 1 and marks(text[end:right]) >= 1:
-        return True
-    return any(w in REPORTING for w in before) or any(w in REPORTING for w in after)
+    return marks.around(start, end) or any(w in REPORTING for w in before) or any(w in REPORTING for w in after)
 
 
 def features(text: str, automaton: Automaton, memo: dict[str, tuple[float, int]]) -> list[float]:
@@ -288,18 +308,18 @@ def features(text: str, automaton: Automaton, memo: dict[str, tuple[float, int]]
     for word in set(words):
         found = known(word)
         if found is None:
-            found = automaton.match(word[:64])
-            if len(memo) < MEMO:
+            found = automaton.match(word)
+            if len(memo) < MEMO and len(word) <= LONGEST:
                 memo[word] = found
         if found[0]:
             hit[word] = found
     direct = fuzzy = cited = 0
     total = best = 0.0
     if hit:
-        spans = list(WORD.finditer(lowered))
-        for i, m in enumerate(spans):
+        marks = Marks(text)
+        for i, m in enumerate(WORD.finditer(lowered)):
             if found := hit.get(m.group()):
-                if quoted(text, m.start(), m.end(), words[max(0, i - WINDOW) : i], words[i + 1 : i + 1 + WINDOW]):
+                if quoted(marks, m.start(), m.end(), words[max(0, i - WINDOW) : i], words[i + 1 : i + 1 + WINDOW]):
                     cited += 1
                 else:
                     direct += found[1] == 0
@@ -327,13 +347,12 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0) -> n
     return w
 
 
-@functools.lru_cache(maxsize=1)  # a worker lives on after its task: keep little
 def _automaton(lexicon: tuple[tuple[str, float], ...]) -> tuple[Automaton, dict]:
-    return Automaton(dict(lexicon)), {}
+    return worker_table(("lexicon", lexicon), lambda: (Automaton(dict(lexicon)), {}))
 
 
 class Model:
-    """A fitted scorer; small enough to travel with the tasks (``MAX_TERMS`` entries at most)."""
+    """A fitted scorer; small enough to travel with the tasks."""
 
     def __init__(self, lexicon: dict[str, float], weights: np.ndarray):
         self.lexicon, self.weights = lexicon, np.asarray(weights)
@@ -354,27 +373,30 @@ class Model:
                 x = np.array([features(t.as_py() or "", automaton, memo) for t in batch.column(at)]).reshape(-1, N_FEATURES)
                 scores = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
+            trim()
 
         return bounded_batches(base).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
     rows = written(_sample(docs, labels, id_col, max_rows), "toxicity-sample")
-    lexicons = learn_lexicon(rows, max_terms)
+    lexicons = learn_lexicon(rows)
     held = docs.sparkSession.sparkContext.broadcast({h: tuple(lexicons[1 - h].items()) for h in (0, 1)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[]] * batch.num_rows
             halves = batch.column("half").to_pylist()
-            for half in (0, 1):
-                automaton, memo = _automaton(held.value[half])
+            both = worker_table(("halves", tuple(held.value.items())), lambda: [(Automaton(dict(held.value[h])), {}) for h in (0, 1)])
+            for half, (automaton, memo) in enumerate(both):
                 for k, text in enumerate(batch.column("text")):
                     if halves[k] == half:
                         found[k] = features(text.as_py() or "", automaton, memo)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "y"])
+        trim()
 
-    sample = bounded_batches(rows).mapInArrow(run, "x array<double>, y int").collect()  # max_rows short rows
+    # At most max_rows short rows, in a fixed order: sums of floats depend on it.
+    sample = sorted(bounded_batches(rows).mapInArrow(run, "x array<double>, y int").collect(), key=lambda r: (r["x"], r["y"]))
     x = np.array([r["x"] for r in sample]).reshape(-1, N_FEATURES)
     return Model(lexicons[2], fit(x, np.array([float(r["y"]) for r in sample])))
 
@@ -386,6 +408,6 @@ def op7_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_civil(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below one half, unchanged."""
+    """The documents that score below one half, unchanged, repeated rows and null texts among them."""
     scored = train(documents.select("doc_id", "text"), labels).score(documents, out="__score")
     return scored.where(F.col("__score") < 0.5).drop("__score")
