@@ -240,7 +240,7 @@ def test_secrets_base_and_random(spark):
     rng = random.Random(5)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     key = "".join(rng.choice(letters) for _ in range(40))
-    text = f'api_key: "abcdefgh1" PASSWORD=short AKIA{"A" * 12} {"0a" * 16} see {key} or averyveryveryverylongword and {"q1" * 17}'
+    text = f'api_key: "abcdefgh1" PASSWORD=short AKIA{"A" * 12} {"0a" * 16} see {key} or averyveryveryverylongword and {"q1" * 17} ' + "some words about tokens and keys of every kind, a very long word list for the model " * 5
     docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
     found = {r.doc_id: r for r in secrets.op6_secrets(docs).collect()}
     base = f"assign:0:19,access:{text.index('AKIA')}:{text.index('AKIA') + 16},hex:{text.index('0a')}:{text.index('0a') + 32}"
@@ -250,6 +250,53 @@ def test_secrets_base_and_random(spark):
     assert found[2].spans == ""
 
 
+ALPHABETS = {"lower36": "abcdefghijklmnopqrstuvwxyz0123456789", "alphanumeric": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def test_battery_keeps_its_level():
+    rng = random.Random(8)
+    for n in (16, 20, 32, 64, 200):
+        for alphabet in (*ALPHABETS.values(), "0123456789abcdef"):
+            rejected = sum(not secrets.looks_random("".join(rng.choice(alphabet) for _ in range(n))) for _ in range(400))
+            assert rejected <= 12, (n, len(alphabet), rejected)  # 3 % where half a per cent is meant
+
+
+def test_bigrams_are_brute_force(monkeypatch):
+    text = "ab c-d\u20ac AB0 password xyz"
+    want = {}
+    for at, (a, b) in enumerate(zip(text, text[1:])):
+        a, b = a.lower(), b.lower()
+        if a in secrets.SYMBOLS and b in secrets.SYMBOLS and not (13 <= at < 21 or 13 <= at + 1 < 21):
+            want[a + b] = want.get(a + b, 0) + 1
+    for part in (3, 1 << 18):
+        monkeypatch.setattr(secrets, "PART", part)
+        got = secrets.bigrams(text, [(13, 21)]).reshape(len(secrets.SYMBOLS), -1)
+        assert {secrets.SYMBOLS[i] + secrets.SYMBOLS[j]: int(got[i, j]) for i, j in zip(*got.nonzero())} == want
+
+
+def test_rare_planted_keys_are_found(spark):
+    rng = random.Random(12)
+    base = "the quick brown fox jumps over lazy dogs while seven wizards make toxic brew for evil queen version release update handler getter manager service value index parser module config reader".split()
+    spell = lambda w: rng.choice((str.lower, str.title, str.upper))(w)
+    rows, keys, n_like = [], {}, 0
+    for i in range(2500):
+        likes = [rng.choice(("_", "-", "/", "")).join(spell(rng.choice(base)) for _ in range(rng.randint(4, 7))) + rng.choice(("", "2", "_10", "-2024-01-15")) for _ in range(4)]
+        n_like += sum(len(x) >= 16 for x in likes)
+        text = " ".join(rng.choice(base) for _ in range(60)) + " " + " ".join(likes) + " 2024-01-15 10-20 3000"
+        if i % 60 == 0:
+            alphabet = ALPHABETS[rng.choice(sorted(ALPHABETS))]
+            key = "".join(rng.choice(alphabet) for _ in range((20, 32, 40, 64)[i // 60 % 4]))
+            if not any(c.isalpha() for c in key) or secrets.base_spans(key):
+                continue
+            text += f" {key} end"
+            keys[i] = f"random:{text.index(key)}:{text.index(key) + len(key)}"
+        rows.append((i, text))
+    found = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("random")] for r in secrets.op6_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(keys[i] in found[i] for i in keys)
+    false = sum(len(v) for v in found.values()) - hits
+    assert n_like > 200 * len(keys) and hits >= 0.9 * len(keys) and false <= 1, (hits, len(keys), false)
+
+
 def test_automaton_edits():
     a = toxicity.Automaton({"idiot": 5.0, "lowei*": 4.0, "ass": 3.0})
     assert a.match("idiot") == (5.0, 0) and a.match("loweischaft") == (4.0, 0)
