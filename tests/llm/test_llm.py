@@ -381,11 +381,50 @@ def test_toxicity_on_rows_it_has_not_seen(spark):
     assert held and all(bool(p) == t for p, t in held)
 
 
-def test_posteriors_shrink_sparse_sites(spark):
-    rows = [("big", "p", 0.9)] * 200 + [("tiny", "p", 0.0)] + [("low", "q", 0.1)] * 200
-    got = {r.host: r for r in quality_model.posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
-    assert got["big"].host_post > 0.8 and got["low"].host_post < 0.2 and got["tiny"].host_post > 0.01
-    assert got["tiny"].host_post < got["tiny"].prior
+def test_posteriors_are_brute_force(spark):
+    rows = [("big", "p", 0.9, 0.5)] * 60 + [("big", "q", 1.0, 1.0)] * 20 + [("tiny", "p", 0.0, 1.0)] + [("low", "q", 0.1, 0.5)] * 40 + [("low", "r", 0.0, 1.0)] * 3
+    evidence = spark.createDataFrame(rows, "host string, path string, v double, w double")
+    groups, prior, host_k, path_k = quality_model.site_sums(evidence)
+    assert prior == pytest.approx(sum(w * v for *_, v, w in rows) / sum(w for *_, w in rows))
+    got = {(r.host, r.path): r for r in quality_model.posteriors(evidence.join(groups, ["host", "path"]), prior, host_k, path_k).collect()}
+    for (host, path), r in got.items():
+        others = list(rows)
+        others.remove((host, path, r.v, r.w))  # a document does not speak for itself
+        s = lambda keep: (sum(w * v for h, p, v, w in others if keep(h, p)), sum(w for h, p, v, w in others if keep(h, p)))
+        of_host, of_path = s(lambda h, p: h == host), s(lambda h, p: (h, p) == (host, path))
+        host_post = (of_host[0] + host_k * prior) / (of_host[1] + host_k)
+        assert r.host_post == pytest.approx(host_post) and r.path_post == pytest.approx((of_path[0] + path_k * host_post) / (of_path[1] + path_k))
+    assert got["tiny", "p"].host_post == pytest.approx(prior)  # nobody else tells
+    assert got["big", "p"].host_post > 0.8 and got["low", "q"].host_post < 0.2
+
+
+def sites_that_tell(spark, n=600):
+    """Texts alike everywhere; what tells good from bad is the site."""
+    rng, rows, marks = random.Random(21), [], []
+    for i in range(n):
+        host = f"h{i % 20}"
+        rows.append((i, " ".join(f"w{rng.randint(0, 500)}" for _ in range(rng.randint(20, 90))), host, f"p{i % 3}"))
+        marks.append((i, int(rng.random() < (0.95 if i % 20 < 10 else 0.05)), 0))
+    return spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), spark.createDataFrame(marks, LABELS)
+
+
+def test_sites_lower_the_held_out_loss(spark):
+    docs, labels = sites_that_tell(spark)
+    alone, with_sites, n = quality_model.held_out_loss(docs, labels, F.col("host"), F.col("path"))
+    assert n > 60 and with_sites < 0.6 * alone
+
+
+def test_quality_without_broadcast(spark, monkeypatch):
+    docs, labels = sites_that_tell(spark, 120)
+    want = plain(quality_model.score_quality(docs, labels, F.col("host"), F.col("path")))
+    monkeypatch.setattr(quality_model, "BROADCAST_GROUPS", 0)
+    assert plain(quality_model.score_quality(docs.repartition(3), labels, F.col("host"), F.col("path"))) == want
+
+
+def test_sites_of_addresses(spark):
+    urls = ["https://A.example.org:80/Blog/x?y", "http://u:p@b.org", None, "no address", "http://c.org/?q"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [tuple(r) for r in df.select(*quality_model.url_site(F.col("url"))).collect()] == [("a.example.org", "blog"), ("b.org", ""), ("", ""), ("", ""), ("c.org", "")]
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
