@@ -459,20 +459,65 @@ def test_surrogates(spark):
     assert surrogates.valid_card(re.search(r"\d{4} \d{4} \d{4} \d{4}", out).group())
 
 
-def test_permutations_are_permutations_and_collisions_are_resolved(spark):
-    assert sorted(surrogates.permuted(i, 100, b"k", "t") for i in range(100)) == list(range(100))
-    mails = [("email", f"{a}{b}@x.org") for a in "bcdf" for b in "aeiou"]
-    got = surrogates.resolve(spark.createDataFrame(mails, "kind string, entity string"), b"key").collect()
-    assert len({r.surrogate for r in got}) == len(mails) and all(r.surrogate != r.entity for r in got)
-
-
-def test_surrogates_that_do_not_settle_are_an_error(spark):
-    names = [("name", f"Mr {c}b") for c in "AEIOU"]  # all values of their format: one that falls on itself has nowhere to go
-    key = next(k for k in (b"%d" % i for i in range(100)) if any(surrogates.surrogate("name", e, k) == e for _, e in names))
-    with pytest.raises(RuntimeError, match="settle"):
-        surrogates.resolve(spark.createDataFrame(names, "kind string, entity string"), key, max_rounds=3).count()
-    fixed = surrogates.resolve(spark.createDataFrame([("name", "Mr Éa")], "kind string, entity string"), key, max_rounds=3)
-    assert [r.surrogate for r in fixed.collect()] == ["Mr Éa"]  # no other value
+def test_permutations_move_all_and_are_one_to_one():
+    for n in (2, 3, 21, 100):
+        assert sorted(surrogates.permuted(i, n, b"k", "t") for i in range(n)) == list(range(n))
+        assert all(surrogates.permuted(surrogates.permuted(i, n, b"k", "t"), n, b"k", "t", back=True) == i for i in range(n))
+        out = [surrogates.moved(i, n, b"k", "t") for i in range(n)]
+        assert sorted(out) == list(range(n)) and all(i != x for i, x in enumerate(out))
+
+
+NAMES = [
+    ("Frau Dr. Weber", ["Weber"]), ("Prof. Dr. Anna Weber", ["Anna", "Weber"]), ("Dr. J. Smith", ["J", "Smith"]), ("Mr Juan Carlos Garcia", ["Juan", "Carlos", "Garcia"]),
+    ("Mr Öz", ["Öz"]), ("Dr Éa", ["Éa"]), ("Sr Ño", ["Ño"]), ("г-н Йё", ["Йё"]), ("Herr von Müller-Lüdenscheidt", ["Müller", "Lüdenscheidt"]), ("Mrs. O'Neil", ["O", "Neil"]), ("Mme Zoë de la Croix", ["Zoë", "Croix"]),
+]
+
+
+@pytest.mark.parametrize("text, words", NAMES)
+def test_names_are_found_whole(text, words):
+    found = [text[a:b] for a, b, _ in surrogates.detect(f"ask {text}, please"[4:])]
+    assert found == words
+    for word in words:
+        new = surrogates.surrogate("name", word, b"key")
+        assert new != word and len(new) == len(word) and new[0].isupper() and (len(word) == 1 or new[-1] == word[-1])
+
+
+def test_bare_surnames_stay_with_their_name(spark):
+    text = "Mr. Hans Keller came. Keller left; Kellers did not. Later Frau Keller spoke with Hans."
+    safe = surrogates.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"key").first()
+    new = surrogates.surrogate("name", "Keller", b"key")
+    assert safe.safe_text == text.replace("Hans Keller", f"{surrogates.surrogate('name', 'Hans', b'key')} {new}").replace(". Keller left", f". {new} left").replace("Frau Keller", f"Frau {new}")
+    assert safe.n_name == 3
+
+
+def test_what_is_no_telephone_number():
+    for text in ("on 2024-01-15.", "15.01.2024", "078-05-1120 is its number", "ISBN 978-3-16-148410-0", "order 12345-67890", "order 123456789", "12 34 56"):
+        assert [k for *_, k in surrogates.detect(text) if k == "phone"] == [], text
+    for text in ("+49 30 1234567", "+1 (017) 555-7713", "030 1234567", "tel. 12345678", "call 555-1234567", "415 555 2671", "+491701234567", "Tel: 0301234567"):
+        assert [k for *_, k in surrogates.detect(text)] == ["phone"], text
+    assert [k for *_, k in surrogates.detect("to josé@x.org or müller.é@straße.example.de now")] == ["email", "email"]
+
+
+def test_no_entity_survives_and_all_stay_distinct(spark):
+    rng = random.Random(31)
+    digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(1, 3)))
+    formats = [
+        lambda: ("email", f"{word('abé')}.{word('xy1')}@{word('ab')}.org"), lambda: ("email", f"{word('ñü')}@x.com"), lambda: ("ip", f"{rng.randint(0, 255)}.0.0.{rng.randint(0, 9)}"),
+        lambda: ("card", "4" + digit(15)), lambda: ("card", f"{digit(4)} {digit(4)} {digit(4)} {digit(4)}"), lambda: ("card", "12" + digit(14)), lambda: ("phone", f"+49 {digit(3)} {digit(2)}"),
+        lambda: ("phone", f"+1 ({digit(3)}) {digit(3)}-{digit(4)}"), lambda: ("phone", f"0{digit(2)} {digit(2)}"), lambda: ("phone", f"{digit(2)} {digit(1)}"), lambda: ("phone", f"+{digit(9)}"),
+        lambda: ("name", word("AB").title()), lambda: ("name", "É" + word("éabz")), lambda: ("name", "Й" + word("ёйбв")), lambda: ("name", rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ")), lambda: ("name", "Ab" + word("aß")),
+        lambda: ("name", "Ω" + word("αβς")), lambda: ("name", "李" + word("小明")), lambda: ("email", f"{digit(2)}@{digit(1)}.net"), lambda: ("name", "Ñu" + word("zx")), lambda: ("id", f"0{digit(2)}-{digit(2)}-0000"),
+    ]
+    pairs = {f() for f in formats for _ in range(400)}
+    made = [(kind, e, surrogates.surrogate(kind, e, b"secret")) for kind, e in pairs]
+    assert all(e != s for _, e, s in made) and len({(k, s) for k, _, s in made}) == len(made)
+    assert all(surrogates.valid_card(e) == surrogates.valid_card(s) for k, e, s in made if k == "card")
+    surrogates.checked(spark.createDataFrame(made, "kind string, entity string, surrogate string"))
+    with pytest.raises(RuntimeError, match="one to one"):
+        surrogates.checked(spark.createDataFrame([("name", "A", "X"), ("name", "B", "X")], "kind string, entity string, surrogate string"))
+    with pytest.raises(ValueError):
+        surrogates.replace(spark.createDataFrame([(1, "x")], "doc_id long, text string"), b"")
 
 
 def test_pipeline_stages(spark, tables):
