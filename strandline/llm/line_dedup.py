@@ -1,16 +1,18 @@
 """Operator 3: line dedup over levelled sorted runs of line hashes.
 
 A *run* is a Parquet table of line keys sorted by their hash: ``h1, h2`` (two
-independent 64-bit hashes of the key), ``n_docs`` and ``max_id``.  ``LineRuns``
-takes batches: each batch is reduced to one run, merge-anti-joins the present
-runs if asked for its new lines, and is added to level 0; when a level has
-``fanout`` runs they are compacted into one run of the next level.  The merge of
-all runs tells how many documents hold a key and which id is the largest.
-
-``drop_shared_lines`` is the batch form: it cuts a corpus into batches in one
-scan, writes their runs, merges them and drops the lines.  Only the rare keys
-that are shared often enough meet the documents again; they are broadcast when
-a count shows that they are few, else joined by a shuffle.
+independent 64-bit hashes of the key), ``n_docs``, ``max_id`` and ``fresh`` (no
+earlier run had the key).  ``LineRuns`` takes batches: each batch is reduced to one
+run, anti-joined with the present runs on their sort key, which tells its new
+lines, and added to level 0; when a level has ``fanout`` runs they are compacted
+into one run of the next level.  The merge of all runs tells how many documents
+hold a key and which id is the largest.
+
+``drop_shared_lines`` feeds a corpus through such runs: one scan reduces it to
+``batches`` batches by id hash, which are ingested one after another, then it drops
+the lines.  Only the rare keys that are shared often enough meet the documents
+again; they are broadcast when a count shows that they are few, else joined by a
+shuffle.
 
 Cases: a null or empty text is one empty line; blanks are those of
 ``[\\x20\\x09-\\x0D]``; every input row counts as a document, so repeated rows
@@ -27,6 +29,7 @@ from strandline.llm.common import BLANKS, ascii_lower, drop_path, let, scratch_p
 #: Shared keys up to which they are broadcast: 16 bytes and an id each.
 BROADCAST_KEYS = 1_000_000
 LEAST = -(1 << 63)
+RUN = "h1 long, h2 long, n_docs long, max_id long, fresh boolean"
 
 
 def text_lines(text: Column) -> Column:
@@ -66,30 +69,40 @@ class LineRuns:
 
     def read(self, paths: list[str] | None = None) -> DataFrame:
         paths = [p for level in self.levels for p in level] if paths is None else paths
-        schema = "h1 long, h2 long, n_docs long, max_id long"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
 
     @staticmethod
     def merge(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
+        return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"), F.bool_or("fresh").alias("fresh"))
 
     def add(self, batch: DataFrame, id_col: str = "doc_id") -> None:
-        """Reduce one batch (with ``text``) to a run and add it."""
-        run = self._keys(batch, id_col).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_id"))
+        """Reduce one batch (with ``text``) to a run and ingest it."""
+        self.ingest(self._keys(batch, id_col).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_id")))
+
+    def ingest(self, keys: DataFrame) -> None:
+        """Add a batch of distinct keys ``h1, h2, n_docs, max_id``: those that no run has yet are fresh."""
+        if any(self.levels):
+            known = self.read().where("fresh").select("h1", "h2", F.lit(True).alias("known"))  # one row for each key of all runs
+            run = keys.join(known, ["h1", "h2"], "left").select("h1", "h2", "n_docs", "max_id", F.col("known").isNull().alias("fresh"))
+        else:
+            run = keys.select("h1", "h2", "n_docs", "max_id", F.lit(True).alias("fresh"))
         self._save(run, 0)
         self.compact()
 
-    def add_all(self, docs: DataFrame, id_col: str = "doc_id", batches: int = 4) -> None:
-        """Reduce a corpus to one run for each of ``batches`` parts (by id hash) in a single scan."""
-        runs = (
+    def add_all(self, docs: DataFrame, id_col: str = "doc_id", batches: int = 3) -> None:
+        """Reduce a corpus to ``batches`` batches (by id hash) in a single scan and ingest one after another."""
+        keys = (
             self._keys(docs.withColumn("batch", F.pmod(F.xxhash64(id_col), F.lit(batches))), id_col, "batch")
             .groupBy("h1", "h2", "batch")
             .agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_id"))
         )
-        path = f"{self.root}/level-0/runs-{self._made}"
+        path = f"{self.root}/batches-{self._made}"
         self._made += 1
-        runs.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(path)
-        self.levels[0].append(path)
+        keys.write.partitionBy("batch").parquet(path)
+        staged = self.spark.read.schema("h1 long, h2 long, n_docs long, max_id long, batch int").parquet(path)
+        for k in range(batches):
+            self.ingest(staged.where(F.col("batch") == k).drop("batch"))
+        drop_path(self.spark, path)
 
     def new_lines(self, batch: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """``doc, h1, h2`` of the batch's keys that no run has yet."""
@@ -111,11 +124,11 @@ class LineRuns:
         return self.merge(self.read()).where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_id")
 
 
-def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", min_length: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
+def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", min_length: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
     """Append ``n_lines``, ``n_dropped``, ``kept_text``; rows and other columns stay."""
     spark = docs.sparkSession
     base = docs.drop("n_lines", "n_dropped", "kept_text")
-    runs = LineRuns(spark, min_length=min_length)
+    runs = LineRuns(spark, fanout=fanout, min_length=min_length)
     runs.add_all(base.select(id_col, "text"), id_col, batches)
     path = scratch_path(spark, "shared-keys")
     runs.shared(min_docs).write.parquet(path)

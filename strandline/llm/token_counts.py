@@ -7,7 +7,8 @@ border goes by rule: ``start`` gives it to the section that holds its first byte
 ``most`` to the section that holds most of its bytes (of equals the first).
 
 Cases: a null or empty text has one empty section with no tokens; repeated rows
-each give their rows; sections need not be even in size; offsets are code points.
+each give their rows; sections need not be even in size nor begin
+with the text; offsets are code points.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ def line_starts(text: str) -> list[int]:
 
 
 def attribute(text: str, starts: list[int], coder, rule: str = "start") -> tuple[int, np.ndarray]:
-    """Tokens in all, and for each section (by its first code point; sections cover the text)."""
+    """Tokens in all, and for each section (by its first code point, in order); what stands before the first section is nobody's."""
+    if not len(starts) or starts[0]:
+        total, counts = attribute(text, [0, *starts], coder, rule)
+        return total, counts[1:]
     ids = coder.encode(text)
     counts = np.zeros(len(starts), dtype=np.int64)
     if not ids:

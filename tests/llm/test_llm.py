@@ -208,6 +208,28 @@ def test_line_runs_ingest_batches(spark, docs):
     assert [r.max_id for r in runs.shared(5).collect()] == [11]
 
 
+def test_the_query_ingests_batches_into_levels(spark, docs, monkeypatch):
+    levels, ingest = [], line_dedup.LineRuns.ingest
+
+    def watched(self, keys):
+        ingest(self, keys)
+        levels.append([len(x) for x in self.levels])
+        fresh = self.read().where("fresh")
+        assert fresh.count() == fresh.select("h1", "h2").distinct().count() == self.read().select("h1", "h2").distinct().count()
+
+    monkeypatch.setattr(line_dedup.LineRuns, "ingest", watched)
+    more = docs.union(spark.createDataFrame([(100 + i, f"{LINE}\n{LINE} number {i % 7}\n{LINE} number {i}", "en", "a", 1) for i in range(40)], SCHEMA)).where("doc_id IS NOT NULL")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.op3_line_dedup(more).collect()}
+    assert levels == [[1], [0, 1], [1, 1]]
+    assert got[139] == 0 and got[138] == 1 and got[110] == 2  # 133 to 139 hold the last of the seven numbered lines
+
+
+def test_line_dedup_without_broadcast(docs, monkeypatch):
+    want = plain(line_dedup.op3_line_dedup(docs))
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    assert plain(line_dedup.op3_line_dedup(docs)) == want
+
+
 def test_decontamination_spans(spark, benchmark):
     docs = spark.createDataFrame([(1, "x TWO, words! y"), (2, "a b c d e f g h i j k l"), (3, "clean")], "doc_id long, text string")
     found = {r.doc_id: r for r in decontaminate.contamination(docs, benchmark).collect()}
@@ -447,6 +469,16 @@ def test_sections_share_out_all_tokens(rule):
     assert own == counts.tolist()
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_that_begin_later_get_no_earlier_tokens(rule):
+    coder = bpe.codec(__import__("public_tokenizers").path(bpe.DEFAULT_RANKS))
+    text = "one two three four five six"
+    total, counts = token_counts.attribute(text, [14, 19], coder, rule)
+    all_, whole = token_counts.attribute(text, [0, 14, 19], coder, rule)
+    assert total == all_ and counts.tolist() == whole[1:].tolist() and whole[0] > 0
+    assert token_counts.attribute(text, [], coder, rule)[1].tolist() == []
+
+
 def test_surrogates(spark):
     text = "Mail Mrs. Maria Keller at maria.keller@mail.example.com or +49 30 1234567, card 4111 1111 1111 1111, host 10.0.0.1; again maria.keller@mail.example.com"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "nothing")], "doc_id long, text string")
