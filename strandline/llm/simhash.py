@@ -26,6 +26,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,10 @@ CHUNK = 2048
 #: Sets of a chunk that share a shingle; sets of it that the others are compared with first.
 LONG_CHUNK = 2048
 CENTRES = 3
+#: Columns of a set's parity map.
+MAP = ("b0", "b1", "b2", "b3")
+#: Columns of the shingles that stand just before one in a prefix.
+LAST = ("last1", "last2")
 #: Rounding must not lose a pair at the bound itself.
 SLACK = 1e-6
 #: The sample that tells common shingles: its rows and share at least; sets that hold a common one; how many are kept.
@@ -224,31 +229,47 @@ def common_shingles(sets: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in counted.where(F.col("n") >= least).select("h").collect()], dtype=np.int64))
 
 
+def parity_map(members: np.ndarray) -> np.ndarray:
+    """256 bits as four integers: each tells whether an odd number of members falls on it."""
+    return np.packbits(np.bincount(members & 255, minlength=256) & 1).view(np.int64)
+
+
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``node, hashes`` to ``node, size, prefix``, the prefix in the order of shingles: by hash, common ones last."""
+    """``node, hashes`` to ``node, size, b0, b1, b2, b3, prefix``: a parity map of the set, and the prefix in the order of shingles, by hash, common ones last."""
     common = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
         for batch in batches:
-            sizes, firsts = [], []
+            sizes, maps, firsts = [], [], []
             for members in batch.column("hashes"):
                 own = members.values.to_numpy(zero_copy_only=False)
                 found = np.searchsorted(last, own)
                 is_last = last[np.minimum(found, len(last) - 1)] == own if len(last) else np.zeros(len(own), dtype=bool)
                 sizes.append(len(own))
+                maps.append(parity_map(own))
                 firsts.append(own[np.lexsort((own, is_last))[: prefix_length(len(own), similarity)]])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), *(pa.array([m[k] for m in maps], pa.int64()) for k in range(len(MAP))), pa.array(firsts, pa.list_(pa.int64()))], names=["node", "size", *MAP, "prefix"])
         trim()
 
-    return bounded_batches(sets.select("node", "hashes")).mapInArrow(run, "node long, size int, prefix array<long>")
+    return bounded_batches(sets.select("node", "hashes")).mapInArrow(run, f"node long, size int, {', '.join(f'{b} long' for b in MAP)}, prefix array<long>")
 
 
 def _may_link(a: str, b: str, similarity: float) -> Column:
-    """Whether sizes and the places of a shared shingle admit the similarity; true for the first shingle that similar sets share."""
+    """Whether sizes, the places of a shared shingle and the parity maps admit the similarity; true for the first shingle that similar sets share.
+
+    Maps differ in at most as many bits as the sets differ in members.
+    """
     size, other, at, place = (F.col(f"{x}.{c}") for c in ("size", "at") for x in (a, b))
     least = similarity / (1 + similarity) * (size + other)
-    return (F.least(size, other) >= similarity * F.greatest(size, other) - SLACK) & (1 + F.least(size - at, other - place) >= least - SLACK)
+    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in MAP), F.lit(0))
+    near = apart <= (1 - similarity) / (1 + similarity) * (size + other) + SLACK
+    return (F.least(size, other) >= similarity * F.greatest(size, other) - SLACK) & (1 + F.least(size - at, other - place) >= least - SLACK) & near
+
+
+def _met_before(a: str, b: str) -> Column:
+    """Whether one of the shingles just before is shared too: then the pair meets there, or before."""
+    return F.coalesce(reduce(Column.__or__, (F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{y}")) & F.col(f"{a}.{x}").isNotNull() for x in LAST for y in LAST)), F.lit(False))
 
 
 def _paired(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -281,8 +302,9 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     which join what is near; then every pair that is not in one component yet.
     """
     firsts = written(prefixes(sets, similarity), "prefixes")
-    filed = firsts.select("node", "size", F.posexplode("prefix").alias("before", "h")).select("h", "node", "size", (F.col("before") + 1).alias("at"))
-    row, ends = F.struct("node", "size", "at"), (F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+    placed = firsts.select("node", "size", *MAP, "prefix", F.posexplode("prefix").alias("before", "h"))
+    filed = placed.select("h", "node", "size", *MAP, (F.col("before") + 1).alias("at"), *(F.get("prefix", F.col("before") - k - 1).alias(c) for k, c in enumerate(LAST)))
+    row, ends = F.struct("node", "size", "at", *MAP), (F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
     met = filed.groupBy("h").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("node", "size") for f in (F.min, F.max)))
     met = written(met.where("n > 1"), "met")
     twos = met.where((F.col("n") == 2) & (F.col("min_size") >= similarity * F.col("max_size") - SLACK)).select(F.col("min_node").alias("u"), F.col("max_node").alias("v"))
@@ -292,7 +314,7 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     near = verified(twos.union(stars.where((F.col("a.node") != F.col("b.node")) & _may_link("a", "b", similarity)).select(*ends)), firsts, sets, similarity)
     near = written(near, "links")
     groups = written(components(near), "groups")
-    placed = hot.join(groups, "node", "left").select("h", "n", "node", "size", "at", F.coalesce("component", "node").alias("component"))
+    placed = hot.join(groups, "node", "left").select("h", "n", "node", "size", "at", *MAP, *LAST, F.coalesce("component", "node").alias("component"))
     # Every set meets every other once: those of a shingle are dealt into chunks, and each two chunks meet.
     mixed = placed.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
     chunks = F.ceil(F.col("n") / LONG_CHUNK).cast("int")
@@ -300,7 +322,7 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     a, b = dealt.alias("a"), dealt.alias("b")
     meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-    rest = a.join(b, meet & _may_link("a", "b", similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    rest = a.join(b, meet & _may_link("a", "b", similarity) & ~_met_before("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     return components(near.union(verified(rest, firsts, sets, similarity)))
 
 

@@ -179,6 +179,17 @@ def test_prefixes_of_similar_sets_meet():
                 assert simhash.prefix_length(n, 0.8) + shared > n and simhash.prefix_length(m, 0.8) + shared > m
 
 
+def test_parity_maps_differ_no_more_than_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 60, 3000):
+        a = rng.integers(-(1 << 63), (1 << 63) - 1, n)
+        b = np.concatenate([a[n // 5 :], rng.integers(-(1 << 63), (1 << 63) - 1, n // 4)])
+        apart = int(np.bitwise_count(simhash.parity_map(a) ^ simhash.parity_map(b)).sum())
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist())) and (n == 3000 or apart > 0 or n < 5)
+
+
 def test_cells_and_masks():
     import numpy as np
 
