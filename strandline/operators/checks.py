@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.vocab import ANNOTATION_RELATIONS, DEPENDENCY_RELATIONS, NODE_TYPES, RETIRED, SEVERITIES, STATUSES
+from strandline.functions.scalars import portable_path
 from strandline.operators import graph
 
 FINDING = ("severity", "code", "node_id", "detail")
@@ -37,7 +38,7 @@ def dangling_edge(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cycle(deps: DataFrame) -> DataFrame:
-    return finding(graph.cycle_core(deps), "error", "CYCLE", F.col("id"), F.lit("on a dependency cycle or between two"))
+    return finding(graph.on_cycles(deps), "error", "CYCLE", F.col("id"), F.lit("on a dependency cycle"))
 
 
 def _canonical(canonical: dict[str, str]) -> Column:
@@ -88,9 +89,9 @@ def stale_render(renders: DataFrame, deps: DataFrame, files: DataFrame, toleranc
 
 
 def lint_vocabulary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    kinds = finding(nodes.where(~F.col("type").isin(*NODE_TYPES)), "warning", "UNKNOWN_TYPE", F.col("id"), F.col("type"))
-    states = finding(nodes.where(~F.col("status").isin(*STATUSES)), "warning", "UNKNOWN_STATUS", F.col("id"), F.col("status"))
-    relations = finding(edges.where(~F.col("rel").isin(*DEPENDENCY_RELATIONS, *ANNOTATION_RELATIONS)), "warning", "UNKNOWN_RELATION", F.col("src"), F.col("rel"))
+    kinds = finding(nodes.where((F.col("type") != "") & ~F.col("type").isin(*NODE_TYPES)), "warning", "UNKNOWN_TYPE", F.col("id"), F.col("type"))
+    states = finding(nodes.where((F.col("status") != "") & ~F.col("status").isin(*STATUSES)), "warning", "UNKNOWN_STATUS", F.col("id"), F.col("status"))
+    relations = finding(edges.where((F.col("rel") != "") & ~F.col("rel").isin(*DEPENDENCY_RELATIONS, *ANNOTATION_RELATIONS)), "warning", "UNKNOWN_REL", F.col("src"), F.col("rel"))
     return kinds.union(states).union(relations)
 
 
@@ -100,10 +101,43 @@ def status_relation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def no_backbone(nodes: DataFrame, bindings: DataFrame) -> DataFrame:
-    bare = nodes.where(F.col("type").isin("claim", "figure") & ~F.col("status").isin(*RETIRED)).join(bindings, "id", "left_anti")
+    """Claims and renders that are live: current, confirmed or without a status."""
+    live = F.coalesce(F.col("status").isin("current", "confirmed"), F.lit(True))
+    bare = nodes.where(F.col("type").isin("claim", "figure") & live).join(bindings, "id", "left_anti")
     return finding(bare, "warning", "NO_BACKBONE", F.col("id"), F.lit(""))
 
 
+def invalid_node_path(nodes: DataFrame) -> DataFrame:
+    """Nodes (``id, path``) whose path is not portable or leaves the root."""
+    return finding(nodes.where(F.col("path").isNotNull() & (F.col("path") != "") & ~portable_path(F.col("path"))), "error", "INVALID_NODE_PATH", F.col("id"), F.col("path"))
+
+
+def missing_file(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Nodes whose sound path is not among the files (``path``)."""
+    gone = nodes.where(portable_path(F.col("path"))).join(files.select("path"), "path", "left_anti")
+    return finding(gone, "error", "MISSING_FILE", F.col("id"), F.col("path"))
+
+
+def unknown_concept(bindings: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Bindings of concepts (``name``) that are not declared."""
+    odd = bindings.join(concepts.select(F.col("name").alias("concept")), "concept", "left_anti")
+    return finding(odd, "error", "UNKNOWN_BACKBONE_CONCEPT", F.col("id"), F.col("concept"))
+
+
+def ambiguous_backbone(nodes: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Nodes with one value (``backbone``) for a graph of several concepts."""
+    many = concepts.agg((F.count_distinct("name") > 1).alias("many"))
+    odd = nodes.where("backbone IS NOT NULL").join(F.broadcast(many.where("many")), F.lit(True), "left_semi")  # one row at most
+    return finding(odd, "error", "AMBIGUOUS_BACKBONE", F.col("id"), F.col("backbone"))
+
+
+def pending(nodes: DataFrame, bindings: DataFrame, canonical: dict[str, str]) -> DataFrame:
+    """Nodes marked stale, each with how its bindings are to move, in the order of concepts."""
+    moves = bindings.withColumn("move", F.concat(F.col("concept"), F.lit(":"), F.col("value"), F.lit(" -> "), F.coalesce(_canonical(canonical)[F.col("concept")], F.lit("?"))))
+    listed = moves.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("move")), ", ").alias("moves"))
+    return finding(nodes.where("status = 'stale'").join(listed, "id", "left"), "pending", "PENDING", F.col("id"), F.coalesce("moves", F.lit("")))
+
+
 def merged(findings: DataFrame) -> DataFrame:
     """One row for each code, node and detail: the gravest severity, how many checks say so, and whether it blocks."""
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))

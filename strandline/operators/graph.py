@@ -62,7 +62,7 @@ def first_root(seeds: DataFrame, deps: DataFrame) -> DataFrame:
 
 def impact(nodes: DataFrame, deps: DataFrame, bindings: DataFrame, concept: str, value: str) -> DataFrame:
     """``id, type, status, direct, root``: nodes bound to another value, and all that depends on them."""
-    bound = bindings.where((F.col("concept") == concept) & (F.col("value") != value)).join(nodes.where("status <> 'deprecated'"), "id").select("id").distinct()
+    bound = bindings.where((F.col("concept") == concept) & (F.col("value") != value)).join(nodes.where(~F.col("status").eqNullSafe(F.lit("deprecated"))), "id").select("id").distinct()
     reached = first_root(bound, deps)
     both = bound.withColumn("direct", F.lit(True)).join(reached, "id", "full_outer")
     return both.select("id", F.coalesce("direct", F.lit(False)).alias("direct"), "root").join(nodes, "id").select("id", "type", "status", "direct", F.coalesce("root", "id").alias("root"))
@@ -81,9 +81,8 @@ def layers(nodes: DataFrame, deps: DataFrame, max_rounds: int = 200) -> DataFram
     raise ValueError("the graph has a cycle or is deeper than max_rounds")
 
 
-def cycle_core(deps: DataFrame) -> DataFrame:
-    """``id`` of the nodes that stay when nodes without inputs or without dependents are trimmed again and again."""
-    current = settled(deps.select("up", "down").distinct(), "core")
+def _core(pairs: DataFrame) -> DataFrame:
+    current = settled(pairs, "core")
     size = current.count()
     while size:
         kept = current.join(current.select(F.col("down").alias("up")).distinct(), "up", "left_semi").join(current.select(F.col("up").alias("down")).distinct(), "down", "left_semi").select("up", "down")
@@ -91,9 +90,50 @@ def cycle_core(deps: DataFrame) -> DataFrame:
         if (left := current.count()) == size:
             break
         size = left
+    return current
+
+
+def cycle_core(deps: DataFrame) -> DataFrame:
+    """``id`` of the nodes that stay when nodes without inputs or without dependents are trimmed again and again."""
+    current = _core(deps.select("up", "down").distinct())
     return current.select(F.col("up").alias("id")).union(current.select("down")).distinct()
 
 
+def on_cycles(deps: DataFrame) -> DataFrame:
+    """``id`` of the nodes that reach themselves: self edges, and what each strongly connected part of the core holds.
+
+    Each round gives the core's nodes the least node that reaches them and, within equal
+    ones, the least that they reach; a node for which both are the same lies on a cycle
+    with it.  The parts that are settled go, and the rest is trimmed again.
+    """
+    pairs = deps.select("up", "down").distinct()
+    found = settled(pairs.where("up = down").select(F.col("up").alias("id")), "cycle-nodes")
+    core = settled(_core(pairs.where("up <> down")), "core")
+    while core.limit(1).count():
+        below = _least_reaching(core)
+        colour = below.select("id", "root")
+        same = core.join(colour.toDF("up", "a"), "up").join(colour.toDF("down", "b"), "down").where("a = b")
+        back = closure(colour.where("id = root").select("root", "id"), same.select(F.col("down").alias("up"), F.col("up").alias("down"), F.lit("").alias("rel")))
+        part = settled(back.select("id").union(back.select(F.col("root").alias("id"))).distinct(), "cycle-part")
+        found = settled(found.union(part), "cycle-nodes")
+        roots = settled(part.union(colour.where("id = root").select("id")).distinct(), "cycle-done")
+        rest = core.join(roots.toDF("up"), "up", "left_anti").join(roots.toDF("down"), "down", "left_anti").select("up", "down")
+        core = settled(_core(rest), "core")
+    return found.distinct()
+
+
+def _least_reaching(pairs: DataFrame) -> DataFrame:
+    """``id, root``: the least node that reaches each node, itself included."""
+    known = settled(pairs.select(F.col("up").alias("id")).union(pairs.select("down")).distinct().withColumn("root", F.col("id")), "colours")
+    frontier = known
+    while True:
+        reached = frontier.join(pairs, F.col("id") == F.col("up")).groupBy(F.col("down").alias("id")).agg(F.min("root").alias("new"))
+        frontier = settled(reached.join(known, "id").where("new < root").select("id", F.col("new").alias("root")), "better")
+        if frontier.limit(1).count() == 0:
+            return known
+        known = settled(known.join(frontier, "id", "left_anti").union(frontier), "colours")
+
+
 def bounded_context(edges: DataFrame, seeds: DataFrame, max_hops: int, max_nodes: int) -> DataFrame:
     """``id, hop``: an undirected neighbourhood of ``seeds`` (``id``); in each hop the lexically least ids enter until ``max_nodes`` are in.
 

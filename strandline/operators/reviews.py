@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,16 +59,66 @@ def panel_vote(ballots: DataFrame, quorum: int = 2) -> DataFrame:
     return tally.withColumn("status", status)
 
 
-def role_coverage(endorsements: DataFrame, roles: tuple[str, str, str]) -> DataFrame:
-    """Candidates of ``candidate, grp, role`` for whose three roles three different groups can be found.
+def role_coverage(endorsements: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """Candidates of ``candidate, grp, role`` for whose roles as many different groups can be found.
 
-    By Hall's condition: each k roles together have at least k groups; only counts are joined.
+    By Hall's condition: any k of the roles together have at least k groups; only counts are made.
     """
-    has = {frozenset(s): F.count_distinct(F.when(F.col("role").isin(*s), F.col("grp"))) for s in ([r] for r in roles)}
-    for pair in ((roles[0], roles[1]), (roles[0], roles[2]), (roles[1], roles[2])):
-        has[frozenset(pair)] = F.count_distinct(F.when(F.col("role").isin(*pair), F.col("grp")))
-    has[frozenset(roles)] = F.count_distinct(F.when(F.col("role").isin(*roles), F.col("grp")))
     fits = F.lit(True)
-    for names, n in has.items():
-        fits = fits & (n >= len(names))
+    for k in range(1, len(roles) + 1):
+        for some in itertools.combinations(roles, k):
+            fits = fits & (F.count_distinct(F.when(F.col("role").isin(*some), F.col("grp"))) >= k)
     return endorsements.groupBy("candidate").agg(fits.alias("covered"))
+
+
+def panel_recommendation(candidates: DataFrame, proposals: DataFrame, ballots: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """``set_id, candidate, status`` of frozen sets: which candidate a panel recommends, or the first gate that stands against it.
+
+    ``candidates``: ``set_id, candidate``; ``proposals``: ``set_id, candidate, grp, passed``;
+    ``ballots``: ``set_id, candidate, grp, role, decision, blocking``.  Groups that proposed
+    the candidate do not count as external.  Only counts by candidate and group are joined.
+    """
+    key = ["set_id", "candidate"]
+    single = candidates.distinct().groupBy("set_id").agg(F.count("*").alias("n_candidates"))
+    proposers = proposals.groupBy(*key, "grp").agg(F.bool_and(F.coalesce("passed", F.lit(False))).alias("passed"))
+    behind = proposers.groupBy(*key).agg(F.count("*").alias("proposers"), F.bool_and("passed").alias("passed"))
+    has = lambda role: F.bool_or((F.col("decision") == "endorse") & (F.col("role") == role)).alias(f"r_{role}")
+    by_group = ballots.groupBy(*key, "grp").agg(F.bool_and(F.col("decision") == "endorse").alias("endorses"), F.bool_or(F.col("decision") == "reject").alias("rejects"), F.bool_or("blocking").alias("blocking"), *map(has, roles))
+    groups = by_group.join(proposers.select(*key, "grp", F.lit(True).alias("own")), [*key, "grp"], "left")
+    outside = F.col("own").isNull()
+    speaks = lambda some: F.count_if(outside & F.col("endorses") & reduce(lambda a, b: a | b, (F.col(f"r_{r}") for r in some)))
+    covered = reduce(lambda a, b: a & b, (speaks(some) >= k for k in range(1, len(roles) + 1) for some in itertools.combinations(roles, k)))
+    tally = groups.groupBy(*key).agg(
+        F.count_if(outside & F.col("endorses")).alias("endorse"), F.count_if(outside & F.col("rejects")).alias("reject"),
+        F.count_if(outside).alias("outsiders"), F.bool_or("blocking").alias("blocking"), covered.alias("covered"),
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    decided = zero("endorse") + zero("reject")
+    quorum = ((zero("proposers") >= 2) & (zero("endorse") >= 1)) | ((zero("proposers") >= 1) & (zero("endorse") >= 2))
+    gates = (
+        (F.col("n_candidates") == 1, "several_candidates"), (F.coalesce("passed", F.lit(False)), "not_validated"), (zero("proposers") + zero("outsiders") >= 3, "too_few_groups"), (quorum, "no_quorum"),
+        (F.coalesce("covered", F.lit(False)), "roles_open"), (~F.coalesce("blocking", F.lit(False)), "blocked"), ((decided > 0) & (3 * zero("endorse") >= 2 * decided), "no_majority"),
+    )
+    status = F.lit("recommended")
+    for gate, name in reversed(gates):
+        status = F.when(~gate, name).otherwise(status)
+    rows = candidates.distinct().join(single, "set_id").join(behind, key, "left").join(tally, key, "left")
+    return rows.select(*key, status.alias("status"))
+
+
+#: Which review state may follow which.
+TRANSITIONS = {"proposed": ("accepted", "rejected", "contested", "superseded"), "accepted": ("contested", "superseded"), "contested": ("accepted", "rejected", "superseded"), "rejected": ("superseded",), "superseded": ()}
+
+
+def transition_issues(documents: DataFrame) -> DataFrame:
+    """``code, id`` of successors ``id, supersedes, state, actor, body, at`` that do not follow from their predecessor: a state out of order, another body, an earlier time, or a first reviewer who is the proposer."""
+    then = documents.select(F.col("id").alias("supersedes"), F.col("state").alias("was"), F.col("actor").alias("by"), F.col("body").alias("old"), F.col("at").alias("since"))
+    both = documents.where("supersedes IS NOT NULL").join(then, "supersedes")
+    allowed = reduce(lambda a, b: a | b, ((F.col("was") == was) & F.col("state").isin(*to) for was, to in TRANSITIONS.items() if to))
+    codes = F.array_compact(
+        F.array(
+            F.when(~F.coalesce(allowed, F.lit(False)), "TRANSITION_NOT_ALLOWED"), F.when(~F.col("body").eqNullSafe(F.col("old")), "BODY_CHANGED"),
+            F.when(F.col("at") < F.col("since"), "TIME_GOES_BACK"), F.when((F.col("was") == "proposed") & (F.col("by") == F.col("actor")), "REVIEWER_IS_PROPOSER"),
+        )
+    )
+    return both.select(F.explode(codes).alias("code"), "id")

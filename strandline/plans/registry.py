@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import scalars
+from strandline.functions import canonical, scalars
 from strandline.functions.vocab import NODE_TYPES
-from strandline.operators import checks, deliberations, graph, ledgers, mappings, reviews, rules, search
+from strandline.operators import checks, deliberations, graph, ledgers, manifests, mappings, reviews, rules, search
 from strandline.sources import tables as t
 from strandline.sources.scratch import settled
 from strandline.streaming import pairing
@@ -134,12 +134,19 @@ def check_dangling_edge(s, d):
     return checks.dangling_edge(kept, t.edges(s, d))
 
 
-_BAD_EDGES = [("region:0", "region:0", "produces"), ("nation:1", "", "cites"), (None, "nation:2", "cites"), ("nation:0", "region:0", "derives_from"), ("part:1", "part:2", "resembles")]
-_BAD_EDGES_SQL = "bad AS (SELECT * FROM (VALUES ('region:0', 'region:0', 'produces'), ('nation:1', '', 'cites'), (NULL, 'nation:2', 'cites'), ('nation:0', 'region:0', 'derives_from'), ('part:1', 'part:2', 'resembles')) AS v(src, dst, rel))"
+_BAD_EDGES_SQL = """bad AS (SELECT 'supplier:' || l_suppkey AS src, 'supplier:' || l_partkey AS dst, 'cites' AS rel FROM lineitem WHERE l_suppkey = l_partkey
+  UNION ALL SELECT 'orders:' || o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '' END, 'cites' FROM orders WHERE o_orderpriority = '5-LOW'
+  UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'derives_from' FROM nation WHERE n_nationkey % 3 = 0
+  UNION ALL SELECT 'part:' || p_partkey, 'part:' || (p_partkey + 1), 'resembles' FROM part WHERE p_size = 7)"""
 
 
 def _worse(s, d):
-    return t.edges(s, d).union(_constants(s, _BAD_EDGES, "src string, dst string, rel string"))
+    """The edges and such as should not be: of a node to itself, without a target, back to what a node comes from, of an unknown relation."""
+    itself = t.table(s, d, "lineitem").where("l_suppkey = l_partkey").select(t.key("supplier", "l_suppkey"), t.key("supplier", "l_partkey"), F.lit("cites"))
+    short = t.table(s, d, "orders").where("o_orderpriority = '5-LOW'").select(t.key("orders", "o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, ""), F.lit("cites"))
+    back = t.table(s, d, "nation").where("n_nationkey % 3 = 0").select(t.key("nation", "n_nationkey"), t.key("region", "n_regionkey"), F.lit("derives_from"))
+    odd = t.table(s, d, "part").where("p_size = 7").select(t.key("part", "p_partkey"), F.concat(F.lit("part:"), (F.col("p_partkey") + 1).cast("string")), F.lit("resembles"))
+    return reduce(DataFrame.union, (t.edges(s, d), itself, short, back, odd))
 
 
 @query(f"""WITH {GRAPH}, {_BAD_EDGES_SQL}, a AS (SELECT * FROM edges UNION ALL SELECT * FROM bad) SELECT 'error' AS severity, 'SELF_EDGE' AS code, src AS node_id, rel AS detail FROM a WHERE src = dst""")
@@ -154,9 +161,9 @@ def check_malformed_edge(s, d):
 
 
 @query(f"""WITH RECURSIVE {GRAPH}, {_BAD_EDGES_SQL}, a AS (SELECT up, down FROM deps UNION SELECT src, dst FROM bad WHERE src <> '' AND dst <> ''),
-walk AS (SELECT up AS root, down AS id FROM a WHERE up LIKE 'region:%' OR up LIKE 'nation:%' UNION SELECT root, down FROM walk JOIN a ON up = walk.id WHERE down LIKE 'region:%' OR down LIKE 'nation:%')
-SELECT 'error' AS severity, 'CYCLE' AS code, root AS node_id, 'on a dependency cycle or between two' AS detail FROM walk WHERE root = id""")
-def check_cycle_core(s, d):
+places AS (SELECT * FROM a WHERE down LIKE 'region:%' OR down LIKE 'nation:%'), walk AS (SELECT up AS root, down AS id FROM places UNION SELECT root, down FROM walk JOIN places ON up = walk.id)
+SELECT DISTINCT 'error' AS severity, 'CYCLE' AS code, root AS node_id, 'on a dependency cycle' AS detail FROM (SELECT root FROM walk WHERE root = id UNION SELECT up FROM a WHERE up = down)""")
+def check_cycle(s, d):
     return checks.cycle(graph.dependencies(_worse(s, d)))
 
 
@@ -186,21 +193,12 @@ def check_offbackbone(s, d):
     return checks.off_backbone(t.nodes(s, d), _deps(s, d), t.bindings(s, d))
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, dirty AS (SELECT DISTINCT b.id FROM bindings b JOIN nodes n ON n.id = b.id WHERE status = 'current' AND concept = 'brand' AND value = 'Brand#23'),
-walk AS (SELECT id AS root, id FROM dirty UNION SELECT root, down FROM walk JOIN deps ON up = walk.id)
-SELECT 'warning' AS severity, 'UPSTREAM_STALE' AS code, w.id AS node_id, min(root) AS detail FROM walk w JOIN nodes n ON n.id = w.id
-WHERE w.id <> root AND status NOT IN ('deprecated', 'retracted', 'dead_end', 'superseded', 'planned') GROUP BY w.id""")
-def check_upstream_stale(s, d):
-    dirty = t.bindings(s, d).where("concept = 'brand' AND value = 'Brand#23'").join(t.nodes(s, d).where("status = 'current'"), "id", "left_semi").select("id")
-    return checks.upstream_stale(t.nodes(s, d), _deps(s, d), dirty)
-
-
 @query(f"""WITH RECURSIVE {GRAPH}, dirty AS (SELECT DISTINCT b.id FROM bindings b JOIN nodes n ON n.id = b.id WHERE status = 'current' AND value <> CASE concept WHEN 'market' THEN 'BUILDING' ELSE 'Brand#11' END),
 walk AS (SELECT id AS root, id FROM dirty UNION SELECT root, down FROM walk JOIN deps ON up = walk.id)
 SELECT 'warning' AS severity, 'UPSTREAM_STALE' AS code, w.id AS node_id, min(root) AS detail FROM walk w JOIN nodes n ON n.id = w.id
 WHERE w.id <> root AND status NOT IN ('deprecated', 'retracted', 'dead_end', 'superseded', 'planned') GROUP BY w.id""")
-def check_upstream_stale_all(s, d):
-    """Below every node that ``check_silent_drift`` reports; ``check_upstream_stale`` takes one brand, as its SQL does."""
+def check_upstream_stale(s, d):
+    """Below every node that ``check_silent_drift`` reports."""
     dirty = check_silent_drift(s, d).select(F.col("node_id").alias("id")).distinct()
     return checks.upstream_stale(t.nodes(s, d), _deps(s, d), dirty)
 
@@ -216,7 +214,7 @@ def check_stale_render(s, d):
 
 @query(f"""WITH {GRAPH}, {_BAD_EDGES_SQL}, m AS (SELECT 'event:' || event_id AS id, event_type AS type, CASE WHEN value > 50 THEN 'hot' ELSE 'current' END AS status FROM events WHERE event_type <> 'view' UNION ALL SELECT * FROM nodes)
 SELECT 'warning' AS severity, 'UNKNOWN_TYPE' AS code, id AS node_id, type AS detail FROM m WHERE type NOT IN ({', '.join(repr(x) for x in NODE_TYPES)})
-UNION ALL SELECT 'warning', 'UNKNOWN_STATUS', id, status FROM m WHERE status = 'hot' UNION ALL SELECT 'warning', 'UNKNOWN_RELATION', src, rel FROM bad WHERE rel = 'resembles'""")
+UNION ALL SELECT 'warning', 'UNKNOWN_STATUS', id, status FROM m WHERE status = 'hot' UNION ALL SELECT 'warning', 'UNKNOWN_REL', src, rel FROM bad WHERE rel = 'resembles'""")
 def lint_vocabulary(s, d):
     odd = t.table(s, d, "events").where("event_type <> 'view'").select(t.key("event", "event_id").alias("id"), F.col("event_type").alias("type"), F.when(F.col("value") > 50, "hot").otherwise("current").alias("status"))
     return checks.lint_vocabulary(odd.union(t.nodes(s, d)), _worse(s, d))
@@ -228,9 +226,11 @@ def lint_status_relation(s, d):
     return checks.status_relation(t.nodes(s, d), claimed)
 
 
-@query(f"""WITH {GRAPH} SELECT 'warning' AS severity, 'NO_BACKBONE' AS code, id AS node_id, '' AS detail FROM nodes WHERE type IN ('claim', 'figure') AND id NOT IN (SELECT id FROM bindings)""")
+@query(f"""WITH {GRAPH} SELECT 'warning' AS severity, 'NO_BACKBONE' AS code, id AS node_id, '' AS detail FROM (SELECT id, type, CASE WHEN id LIKE '%7' THEN NULL WHEN id LIKE '%3' THEN 'stale' ELSE status END AS status FROM nodes)
+WHERE type IN ('claim', 'figure') AND (status IS NULL OR status IN ('current', 'confirmed')) AND id NOT IN (SELECT id FROM bindings)""")
 def lint_no_backbone(s, d):
-    return checks.no_backbone(t.nodes(s, d), t.bindings(s, d))
+    status = F.when(F.col("id").endswith("3") & ~F.col("id").endswith("7"), "stale").when(~F.col("id").endswith("7"), F.col("status"))
+    return checks.no_backbone(t.nodes(s, d).withColumn("status", status), t.bindings(s, d))
 
 
 _FOUND_SQL = f"""{GRAPH}, found AS (
@@ -291,11 +291,11 @@ def ledger_replacement(s, d):
     return ledgers.replacements(runs, ["k"])
 
 
-@query("""WITH x AS (SELECT l_partkey AS k, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), y AS (SELECT l_partkey AS k, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_linenumber = 2 GROUP BY 1)
+@query("""WITH x AS (SELECT l_partkey AS k, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1), y AS (SELECT l_partkey AS k, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1)
 SELECT coalesce(x.k, y.k) AS path, CASE WHEN x.k IS NULL THEN 'created' WHEN y.k IS NULL THEN 'deleted' ELSE 'content_changed' END AS transition FROM x FULL JOIN y ON x.k = y.k WHERE x.q IS DISTINCT FROM y.q""")
 def ledger_window_delta(s, d):
-    scan = lambda n: t.table(s, d, "lineitem").where(F.col("l_linenumber") == n).groupBy(F.col("l_partkey").alias("path")).agg(F.sum("l_quantity").cast("long").alias("hash"))
-    return ledgers.window_delta(scan(1), scan(2))
+    scan = lambda n: t.table(s, d, "lineitem").where(F.col("l_linenumber") % 2 == n).groupBy(F.col("l_partkey").alias("path")).agg(F.sum("l_quantity").cast("long").alias("hash"))
+    return ledgers.window_delta(scan(1), scan(0))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount > 0.09 THEN 'precondition_failed' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'interrupted' WHEN l_tax > 0.07 THEN 'launch_error'
@@ -391,11 +391,11 @@ def panel_vote(s, d):
     return reviews.panel_vote(_ballots(s, d))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_partkey AS c, l_suppkey AS g, l_linenumber AS r FROM lineitem WHERE l_linenumber <= 3 AND l_returnflag = 'N'),
-ok AS (SELECT DISTINCT a.c FROM e a JOIN e b ON a.c = b.c JOIN e x ON x.c = a.c WHERE a.r = 1 AND b.r = 2 AND x.r = 3 AND a.g <> b.g AND a.g <> x.g AND b.g <> x.g) SELECT DISTINCT c AS candidate, c IN (SELECT c FROM ok) AS covered FROM e""")
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS c, l_suppkey AS g, l_linenumber % 3 AS r FROM lineitem WHERE l_returnflag = 'N'),
+ok AS (SELECT DISTINCT a.c FROM e a JOIN e b ON a.c = b.c JOIN e x ON x.c = a.c WHERE a.r = 0 AND b.r = 1 AND x.r = 2 AND a.g <> b.g AND a.g <> x.g AND b.g <> x.g) SELECT DISTINCT c AS candidate, c IN (SELECT c FROM ok) AS covered FROM e""")
 def panel_roles(s, d):
-    given = t.table(s, d, "lineitem").where("l_linenumber <= 3 AND l_returnflag = 'N'").select(F.col("l_partkey").alias("candidate"), F.col("l_suppkey").alias("grp"), F.col("l_linenumber").cast("string").alias("role"))
-    return reviews.role_coverage(given, ("1", "2", "3"))
+    given = t.table(s, d, "lineitem").where("l_returnflag = 'N'").select(F.col("l_partkey").alias("candidate"), F.col("l_suppkey").alias("grp"), (F.col("l_linenumber") % 3).cast("string").alias("role"))
+    return reviews.role_coverage(given, ("0", "1", "2"))
 
 
 @query("""SELECT round_, phase, list_sort(list(DISTINCT p)) AS proposals FROM (SELECT o_orderpriority AS round_, o_orderstatus AS phase, o_custkey % 50 AS p, o_orderkey FROM orders) WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL""")
@@ -404,6 +404,138 @@ def open_proposal_groups(s, d):
     return free.groupBy(F.col("o_orderpriority").alias("round_"), F.col("o_orderstatus").alias("phase")).agg(F.array_sort(F.collect_set(F.col("o_custkey") % 50)).alias("proposals"))
 
 
+_PANEL = """p AS (SELECT DISTINCT l_partkey % 900 AS set_id, l_partkey AS candidate, l_suppkey % 8 AS grp, l_tax < 0.08 AS passed FROM lineitem WHERE l_linenumber = 7),
+b AS (SELECT l_partkey % 900 AS set_id, l_partkey AS candidate, l_suppkey % 8 AS grp, l_linenumber % 3 AS role, CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 'reject' WHEN l_returnflag = 'A' AND l_quantity < 5 THEN 'abstain' ELSE 'endorse' END AS decision,
+  l_discount > 0.0995 AS blocking FROM lineitem WHERE l_linenumber < 7), c AS (SELECT p_partkey % 900 AS set_id, p_partkey AS candidate FROM part WHERE p_size > 2)"""
+
+
+@query(f"""WITH {_PANEL}, n AS (SELECT set_id, count(*) AS n FROM c GROUP BY 1), own AS (SELECT candidate, count(DISTINCT grp) AS proposers, bool_and(passed) AS passed FROM p GROUP BY 1),
+g AS (SELECT candidate, grp, bool_and(decision = 'endorse') AS e, bool_or(decision = 'reject') AS j, bool_or(blocking) AS blocking FROM b GROUP BY ALL),
+o AS (SELECT * FROM g WHERE (candidate, grp) NOT IN (SELECT candidate, grp FROM p)), k AS (SELECT candidate, count(*) FILTER (WHERE e) AS e, count(*) FILTER (WHERE j) AS j, count(*) AS n FROM o GROUP BY 1),
+r AS (SELECT DISTINCT candidate, grp, role FROM b JOIN o USING (candidate, grp) WHERE e), ok AS (SELECT DISTINCT x.candidate FROM r x JOIN r y ON x.candidate = y.candidate JOIN r z ON z.candidate = x.candidate WHERE x.role = 0 AND y.role = 1 AND z.role = 2 AND x.grp <> y.grp AND x.grp <> z.grp AND y.grp <> z.grp),
+bl AS (SELECT candidate FROM g WHERE blocking),
+a AS (SELECT c.*, n.n AS size, coalesce(passed, false) AS passed, coalesce(proposers, 0) AS proposers, coalesce(k.e, 0) AS e, coalesce(k.j, 0) AS j, coalesce(k.n, 0) AS outside FROM c JOIN n USING (set_id) LEFT JOIN own USING (candidate) LEFT JOIN k USING (candidate))
+SELECT set_id, candidate, CASE WHEN size <> 1 THEN 'several_candidates' WHEN NOT passed THEN 'not_validated' WHEN proposers + outside < 3 THEN 'too_few_groups' WHEN NOT (proposers >= 2 AND e >= 1 OR proposers >= 1 AND e >= 2) THEN 'no_quorum'
+  WHEN candidate NOT IN (FROM ok) THEN 'roles_open' WHEN candidate IN (FROM bl) THEN 'blocked' WHEN e + j = 0 OR 3 * e < 2 * (e + j) THEN 'no_majority' ELSE 'recommended' END AS status FROM a""")
+def panel_recommendation(s, d):
+    of = lambda df, **columns: df.select(*(F.expr(e).alias(name) for name, e in columns.items()))
+    line = t.table(s, d, "lineitem")
+    decision = "CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 'reject' WHEN l_returnflag = 'A' AND l_quantity < 5 THEN 'abstain' ELSE 'endorse' END"
+    proposals = of(line.where("l_linenumber = 7"), set_id="l_partkey % 900", candidate="l_partkey", grp="l_suppkey % 8", passed="l_tax < 0.08")
+    ballots = of(line.where("l_linenumber < 7"), set_id="l_partkey % 900", candidate="l_partkey", grp="l_suppkey % 8", role="cast(l_linenumber % 3 AS string)", decision=decision, blocking="l_discount > 0.0995")
+    return reviews.panel_recommendation(of(t.table(s, d, "part").where("p_size > 2"), set_id="p_partkey % 900", candidate="p_partkey"), proposals, ballots, ("0", "1", "2"))
+
+
+_REVIEWS = f"""{_DOCS.replace(", role FROM", ", role, turn, CASE turn % 3 WHEN 0 THEN 'proposed' WHEN 1 THEN 'accepted' ELSE 'contested' END AS state, length(text) % 3 AS actor, CASE WHEN length(text) % 7 = 0 THEN role ELSE 'same' END AS body, turn - 2 * (length(text) % 5)  AS \"at\" FROM")}"""
+
+
+@query(f"""WITH {_REVIEWS}, x AS (SELECT n.*, o.state AS was, o.actor AS by_, o.body AS old, o."at" AS since FROM c n JOIN c o ON o.id = n.supersedes)
+SELECT 'TRANSITION_NOT_ALLOWED' AS code, id FROM x WHERE NOT (was = 'proposed' AND state IN ('accepted', 'contested') OR was = 'accepted' AND state = 'contested' OR was = 'contested' AND state = 'accepted')
+UNION ALL SELECT 'BODY_CHANGED', id FROM x WHERE body IS DISTINCT FROM old UNION ALL SELECT 'TIME_GOES_BACK', id FROM x WHERE "at" < since UNION ALL SELECT 'REVIEWER_IS_PROPOSER', id FROM x WHERE was = 'proposed' AND by_ = actor""")
+def review_transitions(s, d):
+    state = F.when(F.col("turn") % 3 == 0, "proposed").when(F.col("turn") % 3 == 1, "accepted").otherwise("contested")
+    size = F.length("text")
+    name = lambda turn: F.concat_ws(":", F.col("conv_id"), turn)
+    docs = t.table(s, d, "conversations").select(name(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).alias("supersedes"), state.alias("state"), (size % 3).alias("actor"), F.when(size % 7 == 0, F.col("role")).otherwise("same").alias("body"), (F.col("turn") - 2 * (size % 5)).alias("at"))
+    return reviews.transition_issues(docs)
+
+
+# -- files and manifests -------------------------------------------------------------
+
+_MANIFESTS = f"""{t.BINDINGS_SQL}, renders AS (SELECT 'orders:' || o_orderkey AS id, 'out/' || o_orderkey AS path FROM orders),
+manifests AS (SELECT 'orders:' || o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'orders:0' ELSE 'orders:' || o_orderkey END AS node, CASE WHEN o_orderkey % 13 = 0 THEN 'out/x' ELSE 'out/' || o_orderkey END AS output,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'none' ELSE sha256(o_orderkey::VARCHAR) END AS output_hash, CASE WHEN o_orderkey % 19 = 0 THEN 'other' ELSE 'render-manifest/2' END AS version FROM orders WHERE o_orderkey % 7 <> 0),
+inputs AS (SELECT 'orders:' || l_orderkey AS id, 'part/' || l_partkey AS path, sha256(l_returnflag) AS hash, l_linenumber AS "at" FROM lineitem),
+expected AS (SELECT 'orders:' || l_orderkey AS id, 'part/' || l_partkey AS path FROM lineitem WHERE l_quantity > 2 UNION ALL SELECT 'orders:' || l_orderkey, 'part/' || (l_partkey + 1) FROM lineitem WHERE l_quantity > 48),
+locked AS (SELECT 'orders:' || o_orderkey AS id, 'brand' AS concept, CASE WHEN o_orderstatus = 'P' THEN 'Brand#12' ELSE 'Brand#11' END AS value FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderkey % 9 = 0),
+files AS (SELECT 'part/' || p_partkey AS path, sha256(CASE WHEN p_size > 40 THEN 'R' ELSE 'N' END) AS hash FROM part WHERE p_size > 3 UNION ALL SELECT 'out/' || o_orderkey, sha256(CASE WHEN o_orderstatus = 'P' THEN 'x' ELSE o_orderkey::VARCHAR END) FROM orders WHERE o_orderkey % 23 <> 0)"""
+
+
+def _manifests(s, d) -> dict[str, DataFrame]:
+    of = lambda df, **columns: df.select(*(F.expr(e).alias(name) for name, e in columns.items()))
+    orders, line, part = (t.table(s, d, n) for n in ("orders", "lineitem", "part"))
+    own, out = "concat('orders:', o_orderkey)", "concat('out/', o_orderkey)"
+    given = of(line, id="concat('orders:', l_orderkey)", path="concat('part/', l_partkey)", hash="sha2(l_returnflag, 256)", at="l_linenumber", q="l_quantity", p="l_partkey")
+    return {
+        "renders": of(orders, id=own, path=out),
+        "manifests": of(
+            orders.where("o_orderkey % 7 <> 0"), id=own, node=f"if(o_orderkey % 11 = 0, 'orders:0', {own})", output=f"if(o_orderkey % 13 = 0, 'out/x', {out})",
+            output_hash="if(o_orderkey % 17 = 0, 'none', sha2(cast(o_orderkey AS string), 256))", version=f"if(o_orderkey % 19 = 0, 'other', '{manifests.VERSION}')",
+        ),
+        "inputs": given.drop("q", "p"),
+        "expected": given.where("q > 2").select("id", "path").union(given.where("q > 48").select("id", F.expr("concat('part/', p + 1)"))),
+        "locked": of(orders.where("o_orderpriority = '1-URGENT' OR o_orderkey % 9 = 0"), id=own, concept="'brand'", value="if(o_orderstatus = 'P', 'Brand#12', 'Brand#11')"),
+        "files": of(part.where("p_size > 3"), path="concat('part/', p_partkey)", hash="sha2(if(p_size > 40, 'R', 'N'), 256)").union(
+            of(orders.where("o_orderkey % 23 <> 0"), path=out, hash="sha2(if(o_orderstatus = 'P', 'x', cast(o_orderkey AS string)), 256)")
+        ),
+    }
+
+
+@query(f"WITH {_MANIFESTS} SELECT 'error' AS severity, 'MISSING_FILE' AS code, id AS node_id, path AS detail FROM renders WHERE path NOT IN (SELECT path FROM files)")
+def check_missing_file(s, d):
+    m = _manifests(s, d)
+    return checks.missing_file(m["renders"], m["files"])
+
+
+@query(r"""SELECT 'error' AS severity, 'INVALID_NODE_PATH' AS code, 'page:' || page_id AS node_id, p AS detail FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '../' WHEN 1 THEN 'a/' WHEN 2 THEN '/' ELSE 'a/./' END || page_id AS p FROM pages) WHERE page_id % 4 <> 1""")
+def check_invalid_path(s, d):
+    lead = F.when(F.col("page_id") % 4 == 0, "../").when(F.col("page_id") % 4 == 1, "a/").when(F.col("page_id") % 4 == 2, "/").otherwise("a/./")
+    return checks.invalid_node_path(t.table(s, d, "pages").select(t.key("page", "page_id").alias("id"), F.concat(lead, F.col("page_id").cast("string")).alias("path")))
+
+
+@query(f"""WITH {GRAPH} SELECT 'error' AS severity, 'UNKNOWN_BACKBONE_CONCEPT' AS code, id AS node_id, concept AS detail FROM bindings WHERE concept <> 'brand'""")
+def check_unknown_concept(s, d):
+    return checks.unknown_concept(t.bindings(s, d), s.range(1).select(F.lit("brand").alias("name")))
+
+
+@query(f"""WITH {GRAPH} SELECT 'pending' AS severity, 'PENDING' AS code, n.id AS node_id, coalesce(concept || ':' || value || ' -> ' || CASE concept WHEN 'market' THEN 'BUILDING' ELSE 'Brand#11' END, '') AS detail FROM nodes n LEFT JOIN bindings b ON b.id = n.id WHERE n.id LIKE '%5'""")
+def check_pending(s, d):
+    stale = t.nodes(s, d).withColumn("status", F.when(F.col("id").endswith("5"), "stale").otherwise(F.col("status")))
+    return checks.pending(stale, t.bindings(s, d), t.CANONICAL)
+
+
+@query(f"WITH {_MANIFESTS} SELECT 'error' AS severity, 'MISSING_MANIFEST' AS code, id AS node_id, path AS detail FROM renders WHERE id NOT IN (SELECT id FROM manifests)")
+def manifest_missing(s, d):
+    m = _manifests(s, d)
+    return manifests.missing(m["renders"], m["manifests"])
+
+
+@query(f"""WITH {_MANIFESTS}, k AS (SELECT m.*, path, version = 'render-manifest/2' AS known FROM manifests m JOIN renders USING (id)), rep AS (SELECT id FROM inputs GROUP BY id, path HAVING count(*) > 1)
+SELECT 'error' AS severity, 'INVALID_MANIFEST' AS code, id AS node_id, w AS detail FROM (
+SELECT id, 'unknown version' AS w FROM k WHERE NOT known UNION ALL SELECT id, 'another node' FROM k WHERE known AND node <> id UNION ALL SELECT id, 'another output' FROM k WHERE known AND output <> path
+UNION ALL SELECT id, 'no output hash' FROM k WHERE known AND output_hash = 'none' UNION ALL SELECT id, 'repeated or malformed input' FROM k WHERE known AND id IN (FROM rep))""")
+def manifest_invalid(s, d):
+    m = _manifests(s, d)
+    return manifests.invalid(m["renders"], m["manifests"], m["inputs"])
+
+
+@query(f"""WITH {_MANIFESTS}, a AS (SELECT * FROM locked WHERE id IN (SELECT id FROM manifests)), b AS (SELECT * FROM bindings WHERE id IN (SELECT id FROM manifests))
+SELECT 'error' AS severity, 'MANIFEST_BACKBONE_MISMATCH' AS code, coalesce(a.id, b.id) AS node_id, coalesce(a.concept, b.concept) AS detail FROM a FULL JOIN b ON a.id = b.id AND a.concept = b.concept WHERE a.value IS DISTINCT FROM b.value""")
+def manifest_backbone_mismatch(s, d):
+    m = _manifests(s, d)
+    return manifests.backbone_mismatch(m["manifests"], m["locked"], t.bindings(s, d))
+
+
+@query(f"""WITH {_MANIFESTS}, a AS (SELECT DISTINCT id, path FROM inputs WHERE id IN (SELECT id FROM manifests)), b AS (SELECT DISTINCT id, path FROM expected WHERE id IN (SELECT id FROM manifests))
+SELECT 'error' AS severity, 'MANIFEST_INPUT_MISMATCH' AS code, id AS node_id, 'missing: ' || path AS detail FROM (FROM b EXCEPT FROM a) UNION ALL SELECT 'error', 'MANIFEST_INPUT_MISMATCH', id, 'undeclared: ' || path FROM (FROM a EXCEPT FROM b)""")
+def manifest_input_mismatch(s, d):
+    m = _manifests(s, d)
+    return manifests.input_mismatch(m["manifests"], m["inputs"], m["expected"])
+
+
+@query(f"""WITH {_MANIFESTS} SELECT 'error' AS severity, 'OUTPUT_DRIFT' AS code, m.id AS node_id, r.path AS detail FROM manifests m JOIN renders r USING (id) JOIN files f ON f.path = r.path WHERE output_hash <> 'none' AND hash <> output_hash""")
+def manifest_output_drift(s, d):
+    m = _manifests(s, d)
+    return manifests.output_drift(m["renders"], m["manifests"], m["files"])
+
+
+@query(f"""WITH {_MANIFESTS}, off AS (SELECT i.id, i.path, i."at", f.hash AS now FROM inputs i LEFT JOIN files f ON f.path = i.path WHERE i.id IN (SELECT id FROM manifests) AND f.hash IS DISTINCT FROM i.hash)
+SELECT 'error' AS severity, 'STALE_DATA' AS code, id AS node_id, CASE WHEN now IS NULL THEN 'missing: ' ELSE 'changed: ' END || path AS detail FROM off QUALIFY row_number() OVER (PARTITION BY id ORDER BY "at", path) = 1""")
+def manifest_stale_data(s, d):
+    m = _manifests(s, d)
+    return manifests.stale_data(m["manifests"], m["inputs"], m["files"])
+
+
 #: Order lines repeat their numbers: one row of each stands for a record.
 _LINE = "line AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1)"
 
@@ -461,7 +593,7 @@ def deliberation_issues(s, d):
 # -- mappings ------------------------------------------------------------------------
 
 _MAPPINGS = f"""{_LINE}, m AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber > 4 THEN l_orderkey * 10 + l_linenumber - 1 END AS supersedes, l_suppkey AS term, CASE WHEN l_tax > 0.04 THEN 'close' ELSE 'exact' END AS relation, l_partkey AS target,
-  CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'proposed' ELSE 'accepted' END AS state FROM line WHERE l_quantity < 10),
+  CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'proposed' ELSE 'accepted' END AS state FROM line),
 terms AS (SELECT s_suppkey AS term, s_nationkey % 3 AS kind FROM supplier), targets AS (SELECT p_partkey AS target, p_size % 3 AS kind, p_size > 40 AS deprecated FROM part WHERE p_size > 3),
 leaf AS (SELECT * FROM m WHERE id NOT IN (SELECT supersedes FROM m WHERE supersedes IS NOT NULL)),
 split AS (SELECT term FROM leaf WHERE state = 'accepted' GROUP BY term HAVING count(DISTINCT (relation, target)) > 1),
@@ -473,7 +605,7 @@ judged AS (SELECT id, term, findings, state = 'accepted' AND findings = '' AS el
 def _mappings(s, d):
     of = lambda df, **columns: df.select(*(F.expr(e).alias(name) for name, e in columns.items()))
     m = of(
-        _line(s, d).where("l_quantity < 10"), id="l_orderkey * 10 + l_linenumber", supersedes="if(l_linenumber > 4, l_orderkey * 10 + l_linenumber - 1, null)",
+        _line(s, d), id="l_orderkey * 10 + l_linenumber", supersedes="if(l_linenumber > 4, l_orderkey * 10 + l_linenumber - 1, null)",
         term="l_suppkey", relation="if(l_tax > 0.04, 'close', 'exact')", target="l_partkey", state="CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'proposed' ELSE 'accepted' END",
     )
     terms = of(t.table(s, d, "supplier"), term="s_suppkey", kind="s_nationkey % 3")
@@ -505,15 +637,8 @@ _RULES = [
 ]
 
 
-@query(f"""WITH RECURSIVE {t.EDGES_SQL}, f AS (SELECT up AS a, down AS b FROM deps WHERE down NOT LIKE 'orders:%'), w AS (SELECT a, b FROM f UNION SELECT w.a, f.b FROM w JOIN f ON f.a = w.b) SELECT * FROM w""")
-def rule_closure(s, d):
-    feeds = _deps(s, d).where(~F.col("down").startswith("orders:")).select(F.col("up").alias("a"), F.col("down").alias("b"))
-    return rules.fixpoint({("feeds", True): feeds}, _RULES[:2])["affects", True]
-
-
 @query(f"""WITH RECURSIVE {t.EDGES_SQL}, f AS (SELECT DISTINCT up AS a, down AS b FROM deps), w AS (SELECT a, b FROM f UNION SELECT w.a, f.b FROM w JOIN f ON f.a = w.b) SELECT * FROM w""")
-def rule_closure_all(s, d):
-    """The closure over all dependencies; ``rule_closure`` leaves out those of orders, as its SQL does."""
+def rule_closure(s, d):
     feeds = _deps(s, d).select(F.col("up").alias("a"), F.col("down").alias("b"))
     return rules.fixpoint({("feeds", True): feeds}, _RULES[:2])["affects", True]
 
@@ -545,14 +670,8 @@ def release_diff(s, d):
     return search.diff(one("F"), one("O"), ["k", "p"])
 
 
-@query("""SELECT s_suppkey AS id, CASE WHEN s_acctbal > 5000 THEN 'replaced' ELSE 'kept' END AS note FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT -1 - c_custkey, 'added' FROM customer WHERE c_custkey <= 20""")
-def graph_change_apply(s, d):
-    return _changed(s, d, t.table(s, d, "customer").where("c_custkey <= 20"))
-
-
 @query("""SELECT s_suppkey AS id, CASE WHEN s_acctbal > 5000 THEN 'replaced' ELSE 'kept' END AS note FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT -1 - c_custkey, 'added' FROM customer""")
-def graph_change_apply_all(s, d):
-    """With all customers added; ``graph_change_apply`` adds twenty, as its SQL does."""
+def graph_change_apply(s, d):
     return _changed(s, d, t.table(s, d, "customer"))
 
 
@@ -608,12 +727,38 @@ def journal(s, d):
 # -- scalars -------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey, 'run --token [redacted] --api-key=[redacted] --name ' || c_name AS argv FROM customer""")
+@query("""SELECT c_custkey, 'run --Token [REDACTED] --API-key=[REDACTED] --authorization [REDACTED] --token [REDACTED] --name ' || c_name || ' --password' AS argv FROM customer""")
 def argv_redact(s, d):
-    argv = F.array(F.lit("run"), F.lit("--token"), F.col("c_name"), F.concat(F.lit("--api-key="), F.col("c_custkey").cast("string")), F.lit("--name"), F.col("c_name"))
+    name = F.col("c_name")
+    argv = F.array(F.lit("run"), F.lit("--Token"), name, F.concat(F.lit("--API-key="), F.col("c_custkey").cast("string")), F.lit("--authorization"), F.lit("--token"), F.lit("--token"), name, F.lit("--name"), name, F.lit("--password"))
     return t.table(s, d, "customer").select("c_custkey", argv.alias("a")).select("c_custkey", F.array_join(scalars.redact_argv(F.col("a")), " ").alias("argv"))
 
 
+@query("""SELECT c_custkey, c_custkey % 3 <> 0 AS fits FROM customer""")
+def argv_replay(s, d):
+    """Commands that may be run again: the mask stands for any text, the rest must agree."""
+    stored = F.array(F.lit("run"), F.lit("--token=[REDACTED]"), F.col("c_name"))
+    given = F.array(F.lit("run"), F.concat(F.lit("--token="), F.col("c_mktsegment")), F.when(F.col("c_custkey") % 3 == 0, "other").otherwise(F.col("c_name")))
+    return t.table(s, d, "customer").select("c_custkey", scalars.resolves_command(stored, given).alias("fits"))
+
+
+@query("""SELECT o_orderkey, 'at ' || o_orderpriority || ' of ' || o_orderkey AS text, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'src/' || o_orderkey END AS place, o_orderkey % 4 <> 0 AS stamped FROM orders""")
+def text_and_paths(s, d):
+    """Templates, paths resolved against a folder, and timestamps."""
+    key = F.col("o_orderkey").cast("string")
+    token = F.concat(F.when(F.col("o_orderkey") % 5 == 0, "../../../").otherwise("../b/../"), key)
+    stamp = F.concat(F.lit("2024-02-"), F.when(F.col("o_orderkey") % 4 == 0, "30").otherwise("29"), F.lit("T10:00:00.5Z"))
+    text = scalars.rendered(F.lit("at {p} of {k}"), F.create_map(F.lit("p"), F.col("o_orderpriority"), F.lit("k"), key))
+    place = F.array_join(scalars.resolved_path(token, F.array(F.lit("src"), F.lit("a"))), "/")
+    return t.table(s, d, "orders").select("o_orderkey", text.alias("text"), place.alias("place"), scalars.recorded_at(stamp).isNotNull().alias("stamped"))
+
+
+@query("""SELECT event_id, sha256('{"a":[1,{"x":null,"y":"' || event_type || '"}],"k":' || regexp_replace(props, '": ', '":', 'g') || '}') AS hash FROM events""")
+def canonical_hash(s, d):
+    text = F.concat(F.lit(' {"k" : '), F.regexp_replace("props", r'": ', '":'), F.lit(', "a": [1, {"y": "'), F.col("event_type"), F.lit('", "x": null}]}'))
+    return t.table(s, d, "events").select("event_id", canonical.canonical_sha256(text).alias("hash"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_pointer(s, d):
     return t.table(s, d, "events").select("event_id", scalars.json_pointer(F.col("props"), "/k").alias("k"))

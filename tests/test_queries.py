@@ -46,12 +46,12 @@ def test_entry(spark):
 
 
 def test_closure_ends_in_orders(spark):
-    ends = registry.QUERIES["rule_closure_all"](spark, SF).where("b LIKE 'orders:%'")
+    ends = registry.QUERIES["rule_closure"](spark, SF).where("b LIKE 'orders:%'")
     assert {r.kind for r in ends.selectExpr("split(a, ':')[0] AS kind").distinct().collect()} == {"region", "nation", "customer", "part"}
 
 
 def test_stale_below_every_drifted_node(spark):
-    found = registry.QUERIES["check_upstream_stale_all"](spark, SF)
+    found = registry.QUERIES["check_upstream_stale"](spark, SF)
     drifted = registry.QUERIES["check_silent_drift"](spark, SF).selectExpr("node_id AS up")
     below = registry._deps(spark, SF).join(drifted, "up").selectExpr("down AS id").join(registry.t.nodes(spark, SF).where("status NOT IN ('deprecated', 'planned')"), "id", "left_semi")
     assert found.where("detail LIKE 'customer:%'").count() > 0
@@ -59,5 +59,5 @@ def test_stale_below_every_drifted_node(spark):
 
 
 def test_change_adds_all_customers(spark):
-    added = registry.QUERIES["graph_change_apply_all"](spark, SF).where("note = 'added'")
+    added = registry.QUERIES["graph_change_apply"](spark, SF).where("note = 'added'")
     assert added.count() == registry.t.table(spark, SF, "customer").count()
