@@ -238,14 +238,18 @@ def checked(pairs: DataFrame) -> None:
 
 
 def replace(df: DataFrame, key: bytes, text_col: str = "text", out: str = "safe_text") -> DataFrame:
-    """Append ``out`` and ``n_<kind>`` (mentions) for each kind; the texts are read once, and the result is stored and checked."""
+    """Append ``out`` and ``n_<kind>`` (mentions) for each kind; the texts are read once, and the result is stored and checked.
+
+    With ``out`` equal to ``text_col`` the safe text takes the place of the text, which is then not stored.
+    """
     if not key:
         raise ValueError("surrogates need a key")
     added = [out, *(f"n_{k}" for k in KINDS)]
-    base = df.drop(*added, "__pairs")
-    at, names = base.columns.index(text_col), [*base.columns, *added, "__pairs"]
+    base = df.drop(*(c for c in (*added, "__pairs") if c != text_col))
+    kept = [c for c in base.columns if c != out]
+    at, names = base.columns.index(text_col), [*kept, *added, "__pairs"]
     pair = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "entity", "surrogate")]))
-    schema = T.StructType([*base.schema.fields, T.StructField(out, T.StringType()), *(T.StructField(c, T.LongType()) for c in added[1:]), T.StructField("__pairs", pair)])
+    schema = T.StructType([*(base.schema[c] for c in kept), T.StructField(out, T.StringType()), *(T.StructField(c, T.LongType()) for c in added[1:]), T.StructField("__pairs", pair)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +269,7 @@ def replace(df: DataFrame, key: bytes, text_col: str = "text", out: str = "safe_
                 for k, kind in enumerate(KINDS):
                     counts[k].append(sum(s[2] == kind for s in spans))
             fields = pa.list_(pa.struct([(c, pa.string()) for c in ("kind", "entity", "surrogate")]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts), pa.array(pairs, fields)], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts), pa.array(pairs, fields)], names=names)
         trim()
 
     safe = written(bounded_batches(base).mapInArrow(run, schema), "surrogates")
@@ -274,6 +278,5 @@ def replace(df: DataFrame, key: bytes, text_col: str = "text", out: str = "safe_
 
 
 def op10_surrogates(documents: DataFrame) -> DataFrame:
-    named = documents.select("doc_id", F.col("text").alias("text"))
-    safe = replace(named, session_key(documents.sparkSession))
-    return safe.select("doc_id", *(f"n_{k}" for k in KINDS), F.col("safe_text").alias("text"))
+    safe = replace(documents.select("doc_id", "text"), session_key(documents.sparkSession), out="text")
+    return safe.select("doc_id", *(f"n_{k}" for k in KINDS), "text")
