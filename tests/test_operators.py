@@ -217,3 +217,24 @@ def test_streams_run_to_their_end(spark, tmp_path, monkeypatch):
     found = pairing.run_to_end(stream, "whole_run", f"file://{tmp_path}/state")
     assert rows(found, "run_id", "start_id", "finish_id") == [(7, 1, 2)]
     assert found.inputFiles() and all("/state-table/" in f for f in found.inputFiles())
+
+
+def test_cycles_leave_out_what_lies_between(spark):
+    pairs = [("a", "b"), ("b", "a"), ("b", "m"), ("m", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("s", "s"), ("z", "end")]
+    deps = spark.createDataFrame([(u, v, "cites") for u, v in pairs], "up string, down string, rel string")
+    assert rows(graph.on_cycles(deps), "id") == [(x,) for x in "absxyz"]
+
+
+def test_redaction_and_pointers(spark):
+    one = spark.range(1)
+    argv = F.array(*map(F.lit, ("--TOKEN", "--password", "kept", "--Private-Key=x=y", "--authorization")))
+    assert one.select(scalars.redact_argv(argv)).first()[0] == ["--TOKEN", "[REDACTED]", "kept", "--Private-Key=[REDACTED]", "--authorization"]
+    text = F.lit('{"0": "key", "a": [5, null], "it\'s": 1}')
+    at = lambda p: one.select(scalars.json_pointer(text, p)).first()[0]
+    assert [at(p) for p in ("/0", "/a/0", "/a/00", "/a/1", "/a/2", "/it's")] == ["key", "5", None, "null", None, "1"]
+
+
+def test_impact_keeps_nodes_without_status(spark):
+    nodes = spark.createDataFrame([("a", "data", None), ("b", "claim", "current")], "id string, type string, status string")
+    deps = spark.createDataFrame([("a", "b", "supports")], "up string, down string, rel string")
+    assert rows(graph.impact(nodes, deps, spark.createDataFrame([("a", "k", "old")], "id string, concept string, value string"), "k", "new"), "id") == [("a",), ("b",)]
