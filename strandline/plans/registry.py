@@ -784,3 +784,6 @@ def portable_paths(s, d):
 def ols_by_group(s, d):
     y, x = F.col("p_retailprice"), F.col("p_size")
     return t.table(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
+
+
+from strandline.plans import runs as _runs  # noqa: E402,F401  adds its queries
