@@ -7,12 +7,17 @@ written to the shared folder, so plans stay short and survive lost executors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.vocab import ANNOTATION_RELATIONS
 from strandline.sources.scratch import settled
 
+#: Nodes up to which a frontier is broadcast.
+BROADCAST_NODES = 100_000
+
 
 def dependencies(edges: DataFrame) -> DataFrame:
     """``up, down, rel`` of well-formed edges that propagate; ``reads`` is turned round."""
@@ -31,7 +36,7 @@ def closure(seeds: DataFrame, deps: DataFrame, max_depth: int | None = None) ->
     A seed itself appears only where a cycle leads back to it.
     """
     by = [c for c in ("root", "id") if c in seeds.columns]
-    step = settled(deps.select("up", "down").distinct(), "steps")
+    step = settled(deps.select("up", "down"), "steps")
     frontier, known, depth = seeds.select(*by).distinct(), None, 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -48,7 +53,7 @@ def closure(seeds: DataFrame, deps: DataFrame, max_depth: int | None = None) ->
 
 def first_root(seeds: DataFrame, deps: DataFrame) -> DataFrame:
     """``id, root``: what ``seeds`` (``id``) reach, each with the least seed that reaches it; minima travel, not pairs."""
-    step = settled(deps.select("up", "down").distinct(), "steps")
+    step = settled(deps.select("up", "down"), "steps")
     known = settled(seeds.select("id", F.col("id").alias("root")).limit(0), "roots")
     frontier = seeds.select("id", F.col("id").alias("root")).distinct()
     while True:
@@ -69,15 +74,19 @@ def impact(nodes: DataFrame, deps: DataFrame, bindings: DataFrame, concept: str,
 
 
 def layers(nodes: DataFrame, deps: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """``id, layer``: the longest path that ends in a node; a cycle raises."""
-    step = settled(deps.select("up", "down").distinct(), "steps")
-    current = settled(nodes.select("id", F.lit(0).alias("layer")).distinct(), "layers")
+    """``id, layer``: the longest path that ends in a node; a cycle raises.
+
+    A node is in the next layer, or beyond, if some input is in the layer before; each
+    round stores only these, and a node's last round is its layer.
+    """
+    step = settled(deps.join(nodes.select(F.col("id").alias("down")), "down", "left_semi").select("up", "down"), "steps")
+    reached = [nodes.select("id", F.lit(0).alias("layer"))]
+    frontier = nodes.select("id")
     for round_no in range(1, max_rounds):
-        # A node is in the next layer if some input is in the layer before.
-        raised = settled(current.where(F.col("layer") == round_no - 1).join(step, F.col("id") == F.col("up")).select(F.col("down").alias("id")).distinct(), "raised")
-        if raised.limit(1).count() == 0:
-            return current
-        current = settled(current.join(raised.withColumn("up_to", F.lit(round_no)), "id", "left").select("id", F.coalesce("up_to", "layer").alias("layer")), "layers")
+        frontier = settled(frontier.join(step, F.col("id") == F.col("up")).select(F.col("down").alias("id")).distinct(), "raised")
+        if frontier.limit(1).count() == 0:
+            return reduce(DataFrame.union, reached).groupBy("id").agg(F.max("layer").alias("layer"))
+        reached.append(frontier.withColumn("layer", F.lit(round_no)))
     raise ValueError("the graph has a cycle or is deeper than max_rounds")
 
 
@@ -139,13 +148,16 @@ def bounded_context(edges: DataFrame, seeds: DataFrame, max_hops: int, max_nodes
 
     ``max_nodes`` is the budget that defines the operator; seeds are never dropped.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    both = edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("x")).select("x.*")
     known = settled(seeds.select("id", F.lit(0).alias("hop")).distinct(), "context")
     for hop in range(1, max_hops + 1):
-        room = max_nodes - known.count()
+        held = known.count()
+        room = max_nodes - held
         if room <= 0:
             break
-        following = known.where(F.col("hop") == hop - 1).join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti")
+        near = known.where(F.col("hop") == hop - 1)
+        near = F.broadcast(near) if held <= BROADCAST_NODES else near
+        following = both.join(near, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti")
         known = settled(known.union(following.orderBy("id").limit(room).select("id", F.lit(hop).alias("hop"))), "context")
     return known
 

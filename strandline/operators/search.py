@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.sources.scratch import settled
+
 
 def normal_key(text: Column) -> Column:
     """Blanks collapsed, ends trimmed, lowered: the comparison form of a term."""
@@ -43,3 +45,18 @@ def within_budget(items: DataFrame, group: list[str], order: list[str], size: st
     """Items of each group, in order, as long as their sizes add up to no more than ``budget``."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return items.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+
+
+def numbered(rows: DataFrame, by: str, order: str, name: str = "place") -> DataFrame:
+    """The rows with their place from 1 in each group, by ``order``, also where a few groups hold all rows.
+
+    Ranges of (group, order) are numbered each for itself; the rows of a group before a
+    range come from one count for each group and range.  Of equal rows any comes first.
+    """
+    ranges = settled(rows.repartitionByRange(by, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("__range", by).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("__range").alias("__r"), F.col(by).alias("__by"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = ranges.withColumn("__own", F.row_number().over(Window.partitionBy("__range", by).orderBy(order)))
+    joined = own.join(offsets, (F.col("__range") == F.col("__r")) & F.col(by).eqNullSafe(F.col("__by")))
+    return joined.select(*rows.columns, (F.col("__before") + F.col("__own")).alias(name))

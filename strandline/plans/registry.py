@@ -719,9 +719,7 @@ def projection_unresolved(s, d):
 
 @query(f"""WITH {GRAPH} SELECT status, id, row_number() OVER (PARTITION BY status ORDER BY id) AS place FROM nodes WHERE type = 'claim'""")
 def journal(s, d):
-    from pyspark.sql import Window
-
-    return t.nodes(s, d).where("type = 'claim'").select("status", "id", F.row_number().over(Window.partitionBy("status").orderBy("id")).alias("place"))
+    return search.numbered(t.nodes(s, d).where("type = 'claim'").select("status", "id"), "status", "id")
 
 
 # -- scalars -------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import pipelines, proofs, replays, rules
+from strandline.operators import graph, pipelines, proofs, replays, rules, search
 
 
 def rows(frame, *columns):
@@ -175,3 +175,19 @@ def test_proofs_through_a_cycle_end(spark):
     inputs = made(spark, "derivation int, fact string, assumed boolean, results array<string>", (1, "x", False, ["r"]), (1, "x", True, []))
     r = proofs.best_proofs(firings, inputs, made(spark, "derivation int, fact string, subjects array<string>", (1, "b", ["r"]))).first()
     assert (r.inputs, r.rules, r.conclusions, r.assumptions, r.uncovered) == (["x"], ["ab", "xa"], ["b", "a"], 0, 0)
+
+
+def test_places_within_groups(spark):
+    held = [("big", k) for k in range(500)] + [(None, k) for k in (3, 1, 2)] + [("one", 7)]
+    random.Random(1).shuffle(held)
+    found = search.numbered(made(spark, "kind string, n int", *held).repartition(7), "kind", "n")
+    assert {tuple(r) for r in found.collect()} == {("big", k, k + 1) for k in range(500)} | {(None, k, k) for k in (1, 2, 3)} | {("one", 7, 1)}
+    assert search.numbered(made(spark, "kind string, n int"), "kind", "n").count() == 0
+
+
+def test_layers_leave_out_what_is_no_node(spark):
+    nodes = made(spark, "id string", ("a",), ("b",), ("c",), ("d",))
+    deps = made(spark, "up string, down string", ("a", "b"), ("b", "c"), ("a", "c"), ("c", "gone"), ("gone", "d"), ("a", "b"))
+    assert rows(graph.layers(nodes, deps), "id", "layer") == [("a", 0), ("b", 1), ("c", 2), ("d", 0)]
+    with pytest.raises(ValueError):
+        graph.layers(nodes, deps.union(made(spark, "up string, down string", ("c", "a"))), max_rounds=9)
