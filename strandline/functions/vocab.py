@@ -10,5 +10,7 @@ RETIRED = ("deprecated", "retracted", "dead_end", "superseded")
 STATUSES = ("planned", "current", "confirmed", "null", "dead_end", "retracted", "superseded", "stale", "deprecated")
 #: Node types that get type checks.
 NODE_TYPES = ("question", "hypothesis", "prediction", "data", "artifact", "code", "figure", "claim", "conclusion", "doc", "doc_span", "experiment", "method", "decision", "reference", "concept")
+#: Types whose files a render can be older than, unless told otherwise.
+INPUT_TYPES = ("data", "artifact", "code")
 #: Severities from the gravest on.
 SEVERITIES = ("error", "warning", "pending", "info")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.vocab import ANNOTATION_RELATIONS, DEPENDENCY_RELATIONS, NODE_TYPES, RETIRED, SEVERITIES, STATUSES
+from strandline.functions.vocab import ANNOTATION_RELATIONS, DEPENDENCY_RELATIONS, INPUT_TYPES, NODE_TYPES, RETIRED, SEVERITIES, STATUSES
 from strandline.functions.scalars import portable_path
 from strandline.operators import graph
 
@@ -80,12 +80,16 @@ def upstream_stale(nodes: DataFrame, deps: DataFrame, dirty: DataFrame) -> DataF
     return finding(below, "warning", "UPSTREAM_STALE", F.col("id"), F.col("root"))
 
 
-def stale_render(renders: DataFrame, deps: DataFrame, files: DataFrame, tolerance_s: float = 2.0) -> DataFrame:
-    """Renders (``id``) older than an ancestor by more than the tolerance; ``files`` has ``id, mtime`` (seconds); the least such ancestor."""
-    above = graph.closure(renders.select(F.col("id").alias("root"), "id"), graph.reverse(deps))
-    own = files.select(F.col("id").alias("root"), F.col("mtime").alias("own"))
-    late = above.join(files, "id").join(own, "root").where(F.col("mtime") > F.col("own") + tolerance_s).groupBy("root").agg(F.min("id").alias("up"))
-    return finding(late, "error", "STALE_RENDER", F.col("root"), F.col("up"))
+def stale_render(renders: DataFrame, nodes: DataFrame, deps: DataFrame, files: DataFrame, tolerance_s: float = 2.0, inputs: tuple[str, ...] = INPUT_TYPES) -> DataFrame:
+    """Renders (``id``) older than an ancestor by more than the tolerance, with the newest such ancestor.
+
+    ``files`` has ``id, mtime`` (seconds).  Only live ancestors of an input type count.
+    The newest one travels down the graph, so the cost does not grow with pairs.
+    """
+    live = nodes.where(F.col("type").isin(*inputs) & ~F.col("status").eqNullSafe(F.lit("deprecated")))
+    newest = graph.carried(files.join(live, "id", "left_semi").select("id", F.struct("mtime", "id").alias("best")), deps, largest=True)
+    late = renders.join(newest, "id").join(files, "id").where(F.col("best.mtime") > F.col("mtime") + tolerance_s)
+    return finding(late, "error", "STALE_RENDER", F.col("id"), F.col("best.id"))
 
 
 def lint_vocabulary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

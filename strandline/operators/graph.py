@@ -51,18 +51,31 @@ def closure(seeds: DataFrame, deps: DataFrame, max_depth: int | None = None) ->
     return known if known is not None else seeds.select(*by).withColumn("depth", F.lit(0)).limit(0)
 
 
-def first_root(seeds: DataFrame, deps: DataFrame) -> DataFrame:
-    """``id, root``: what ``seeds`` (``id``) reach, each with the least seed that reaches it; minima travel, not pairs."""
+def carried(seeds: DataFrame, deps: DataFrame, largest: bool = False) -> DataFrame:
+    """``id, best`` of what ``seeds`` (``id, best``) reach: the least (or largest) ``best`` of the seeds that reach it.
+
+    One value travels for each node, not one for each pair.  A round appends what it
+    improves and rewrites nothing; the deltas are reduced once, at the end.
+    """
+    least = F.max if largest else F.min
     step = settled(deps.select("up", "down"), "steps")
-    known = settled(seeds.select("id", F.col("id").alias("root")).limit(0), "roots")
-    frontier = seeds.select("id", F.col("id").alias("root")).distinct()
+    frontier = seeds.groupBy("id").agg(least("best").alias("best"))
+    known = None
     while True:
-        reached = frontier.join(step, F.col("id") == F.col("up")).groupBy(F.col("down").alias("id")).agg(F.min("root").alias("root"))
-        better = reached.alias("r").join(known.alias("k"), "id", "left").where(F.col("k.root").isNull() | (F.col("r.root") < F.col("k.root"))).select("id", F.col("r.root").alias("root"))
-        frontier = settled(better, "better")
+        reached = frontier.join(step, F.col("id") == F.col("up")).groupBy(F.col("down").alias("id")).agg(least("best").alias("best"))
+        if known is not None:
+            k, r = known.alias("k"), reached.alias("r")
+            settles = F.col("k.best") >= F.col("r.best") if largest else F.col("k.best") <= F.col("r.best")
+            reached = r.join(k, (F.col("k.id") == F.col("r.id")) & settles, "left_anti")
+        frontier = settled(reached, "better")
+        known = frontier if known is None else known.union(frontier)
         if frontier.limit(1).count() == 0:
-            return known
-        known = settled(known.join(frontier, "id", "left_anti").union(frontier), "roots")
+            return known.groupBy("id").agg(least("best").alias("best"))
+
+
+def first_root(seeds: DataFrame, deps: DataFrame) -> DataFrame:
+    """``id, root``: what ``seeds`` (``id``) reach, each with the least seed that reaches it."""
+    return carried(seeds.select("id", F.col("id").alias("best")), deps).withColumnRenamed("best", "root")
 
 
 def impact(nodes: DataFrame, deps: DataFrame, bindings: DataFrame, concept: str, value: str) -> DataFrame:

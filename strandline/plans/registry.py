@@ -204,12 +204,18 @@ def check_upstream_stale(s, d):
 
 
 @query(f"""WITH {GRAPH}, files AS (SELECT 'orders:' || o_orderkey AS id, epoch(o_orderdate) AS mtime FROM orders
-  UNION ALL SELECT 'part:' || l_partkey, max(epoch(l_shipdate)) FROM lineitem GROUP BY l_partkey)
-SELECT 'error' AS severity, 'STALE_RENDER' AS code, down AS node_id, min(up) AS detail FROM deps JOIN files f ON f.id = up JOIN files g ON g.id = down WHERE f.mtime > g.mtime + 2 GROUP BY down""")
+  UNION ALL SELECT 'part:' || l_partkey, max(epoch(l_shipdate)) FROM lineitem GROUP BY l_partkey UNION ALL SELECT 'customer:' || o_custkey, max(epoch(o_orderdate)) FROM orders GROUP BY o_custkey
+  UNION ALL SELECT 'nation:' || n_nationkey, epoch(DATE '1998-12-31') FROM nation WHERE n_nationkey % 5 = 0),
+above AS (SELECT up, down FROM deps UNION SELECT a.up, b.down FROM deps a JOIN deps b ON b.up = a.down WHERE a.up LIKE 'nation:%'),
+newest AS (SELECT down, arg_max(up, (f.mtime, up)) AS up, max(f.mtime) AS mtime FROM above JOIN files f ON f.id = up JOIN nodes n ON n.id = up WHERE type <> 'claim' AND status <> 'deprecated' GROUP BY down)
+SELECT 'error' AS severity, 'STALE_RENDER' AS code, down AS node_id, up AS detail FROM newest w JOIN files g ON g.id = down WHERE down LIKE 'orders:%' AND w.mtime > g.mtime + 2""")
 def check_stale_render(s, d):
-    orders = t.table(s, d, "orders").select(t.key("orders", "o_orderkey").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("mtime"))
-    parts = t.table(s, d, "lineitem").groupBy(t.key("part", "l_partkey").alias("id")).agg(F.max(F.unix_seconds(F.col("l_shipdate").cast("timestamp"))).alias("mtime"))
-    return checks.stale_render(orders.select("id"), _deps(s, d), settled(orders.union(parts), "files"))
+    seconds = lambda day: F.unix_seconds(day.cast("timestamp"))
+    orders = t.table(s, d, "orders").select(t.key("orders", "o_orderkey").alias("id"), seconds(F.col("o_orderdate")).alias("mtime"))
+    parts = t.table(s, d, "lineitem").groupBy(t.key("part", "l_partkey").alias("id")).agg(F.max(seconds(F.col("l_shipdate"))).alias("mtime"))
+    owners = t.table(s, d, "orders").groupBy(t.key("customer", "o_custkey").alias("id")).agg(F.max(seconds(F.col("o_orderdate"))).alias("mtime"))
+    homes = t.table(s, d, "nation").where("n_nationkey % 5 = 0").select(t.key("nation", "n_nationkey").alias("id"), seconds(F.lit("1998-12-31")).alias("mtime"))
+    return checks.stale_render(orders.select("id"), t.nodes(s, d), _deps(s, d), settled(orders.union(parts).union(owners).union(homes), "files"))
 
 
 @query(f"""WITH {GRAPH}, {_BAD_EDGES_SQL}, m AS (SELECT 'event:' || event_id AS id, event_type AS type, CASE WHEN value > 50 THEN 'hot' ELSE 'current' END AS status FROM events WHERE event_type <> 'view' UNION ALL SELECT * FROM nodes)
@@ -784,4 +790,4 @@ def ols_by_group(s, d):
     return t.table(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
 
 
-from strandline.plans import runs as _runs  # noqa: E402,F401  adds its queries
+from strandline.plans import judgements as _judgements, runs as _runs  # noqa: E402,F401  add their queries
