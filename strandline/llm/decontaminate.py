@@ -9,9 +9,9 @@ each hit; only hits leave the scan.  Hits are then gathered per document, which
 has no more than its own positions.
 
 Cases: null texts have no words and are clean; an item without words has no
-window; windows that several items share count for each; exact repeats of a row get
-one result; a null id is an id of its own; further columns are kept by
-``remove_spans`` and ``drop_documents``.
+window; windows that several items share count for each; repeated rows are looked
+up together and each keep their row; a null id is an id of its own; further columns
+are kept by ``remove_spans`` and ``drop_documents``.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def item_windows(benchmark: DataFrame, size: int = 10, id_col: str = "item_id")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", size: int = 10) -> DataFrame:
-    """``id, mark, n_words, hits array<struct<at, size>>, items`` for each distinct document, in one scan.
+    """``id, mark, n_words, copies, hits array<struct<at, size>>, items`` for each distinct document, in one scan.
 
     Every position is hashed and looked up; a hit counts once its words are equal.
     """
@@ -73,13 +73,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", siz
     if windows.count() <= BROADCAST_WINDOWS:
         found = rows.join(F.broadcast(windows), "h", "left").where((at == F.size(w)) | (_text(w, at, F.col("size")) == F.col("window")))
         found = found.select("id", "mark", "at", F.size(w).alias("n"), "size", "items")
+        copies = F.count_if(at == F.col("n")) / max(len(sizes), 1)  # the end of a text comes once for each size
     else:  # texts stay where they are: positions meet windows by hash, and hits meet their text again
-        met = rows.where(F.col("h").isNotNull()).select("id", "mark", "at", "h").join(windows, "h").drop("h")
+        met = rows.where(F.col("h").isNotNull()).select("id", "mark", "at", "h").join(windows, "h").drop("h").dropDuplicates(["id", "mark", "at", "size", "window"])
         same = named.alias("d").join(met.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & F.col("d.mark").eqNullSafe(F.col("m.mark")), "left")
-        found = same.select("d.id", "d.mark", F.coalesce("at", F.lit(-1)).alias("at"), F.size(w).alias("n"), F.when(_text(w, at, F.col("size")) == F.col("window"), F.col("size")).alias("size"), "items")
+        found = same.select("d.id", "d.mark", F.coalesce("at", F.lit(-1)).alias("at"), F.size(w).alias("n"), F.when(_text(w, at, F.col("size")) == F.col("window"), F.col("size")).alias("size"), "items", F.struct("at", "window").alias("place"))
+        copies = F.count("*") / F.size(F.collect_set("place"))  # each row has met each place once
     hit = F.col("size").isNotNull() & (at < F.col("n"))
     return found.groupBy("id", "mark").agg(
         F.max("n").cast("long").alias("n_words"),
+        copies.cast("int").alias("copies"),
         F.collect_set(F.when(hit, F.struct("at", "size"))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items"))))).alias("items"),
     )
@@ -101,9 +104,10 @@ def _with_hits(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", size: int = 10) -> DataFrame:
-    """``id_col, n_words, n_hit, items`` for each distinct document."""
+    """``id_col, n_words, n_hit, items`` for each document."""
     found = find_hits(docs, benchmark, id_col, size)
-    return found.select(F.col("id").alias(id_col), "n_words", covered(F.col("hits")).alias("n_hit"), "items")
+    judged = found.select(F.col("id").alias(id_col), "n_words", covered(F.col("hits")).alias("n_hit"), "items", "copies")
+    return judged.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies")
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", size: int = 10) -> DataFrame:
