@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import assessments, declarations, projections, releases
+from strandline.operators import assessments, declarations, projections, records, releases, vocabularies
 from strandline.plans.registry import _LINE, GRAPH, _line, query
 from strandline.sources import tables as t
 from strandline.sources.scratch import scratch_path
@@ -307,3 +307,51 @@ FROM e LEFT JOIN x ON x.run_id = e.run_id AND x.stage = e.stage""")
 def stream_stage_journal(s, d):
     records = _of(pairing.event_stream(s, d), run_id="user_id", stage="event_type", at="ts", event_id="event_id")
     return journals.stage_journal(records, {"signup": (), "view": ("signup",), "click": ("view",), "purchase": ("click",)}, scratch_path(s, "journal"))
+
+
+# -- vocabularies, rule packs and records --------------------------------------------------------
+
+_PREDICATE = "concat('p', l_partkey % 20)"
+_ARGUMENT_TYPE = "CASE l_linenumber % 5 WHEN 0 THEN 'ct:decimal' WHEN 1 THEN 'ct:string' WHEN 2 THEN 't1' WHEN 3 THEN 't9' ELSE 'ct:symbol' END"
+_UNIT = "CASE l_partkey % 3 WHEN 1 THEN 'kg' WHEN 2 THEN 'mile' END"
+_KIND = "CASE WHEN l_returnflag = 'A' THEN 'input' WHEN l_quantity > 3 THEN 'derived' ELSE 'odd' END"
+_POLARITY = "CASE WHEN l_tax < 0.07 THEN 'positive' ELSE 'both' END"
+_VOCABULARY = f"""{_LINE}, types AS (SELECT s_suppkey AS v, 't1' AS id, CASE s_nationkey % 5 WHEN 0 THEN 'ct:float' ELSE 'ct:decimal' END AS base FROM supplier UNION ALL SELECT s_suppkey, 'ct:string', 'ct:string' FROM supplier WHERE s_nationkey % 4 = 1 UNION ALL SELECT s_suppkey, 't1', 'ct:decimal' FROM supplier WHERE s_nationkey % 6 = 1),
+units AS (SELECT s_suppkey AS v, 'kg' AS unit FROM supplier UNION ALL SELECT s_suppkey, 'kg' FROM supplier WHERE s_nationkey % 3 = 0), predicates AS (SELECT l_suppkey AS v, {_PREDICATE} AS id, {_KIND} AS kind FROM line WHERE l_linenumber < 3),
+arguments AS (SELECT l_suppkey AS v, {_PREDICATE} AS p, 'n' || l_linenumber % 3 AS name, {_ARGUMENT_TYPE} AS type, {_UNIT} AS unit FROM line),
+renderers AS (SELECT l_suppkey AS v, 'r' || l_orderkey % 50 AS id, {_PREDICATE} AS p, {_POLARITY} AS polarity, l_returnflag AS language, CASE WHEN l_discount < 0.05 THEN '{{n0}} is {{n1}}' ELSE '{{n2}}, {{n1}}, {{n0}}, {{n1}}' END AS template, CASE WHEN l_discount < 0.05 THEN ['n0', 'n1'] ELSE ['n0', 'n1', 'n2'] END AS fields FROM line WHERE l_quantity > 40)"""
+
+
+@query(f"""WITH {_VOCABULARY} SELECT 'TYPE_RESERVED' AS code, v AS vocabulary, id AS detail FROM types WHERE id LIKE 'ct:%' UNION ALL SELECT 'TYPE_REPEATED', v, id FROM types GROUP BY v, id HAVING count(*) > 1 UNION ALL SELECT 'TYPE_BASE_UNKNOWN', v, id FROM types WHERE base = 'ct:float'
+UNION ALL SELECT 'UNIT_REPEATED', v, unit FROM units GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'PREDICATE_REPEATED', v, id FROM predicates GROUP BY v, id HAVING count(*) > 1 UNION ALL SELECT 'PREDICATE_KIND_INVALID', v, id FROM predicates WHERE kind = 'odd'
+UNION ALL SELECT 'ARGUMENT_REPEATED', v, p || ' ' || name FROM arguments GROUP BY v, p, name HAVING count(*) > 1 UNION ALL SELECT 'ARGUMENT_TYPE_UNKNOWN', v, p || ' ' || name || ' ' || type FROM arguments WHERE type = 't9' OR type = 't1' AND v NOT IN (SELECT v FROM types WHERE id = 't1')
+UNION ALL SELECT 'ARGUMENT_UNIT_UNKNOWN', v, p || ' ' || name || ' ' || unit FROM arguments WHERE unit IS NOT NULL AND (v, unit) NOT IN (FROM units)
+UNION ALL SELECT 'RENDERER_REPEATED', v, id FROM renderers GROUP BY v, id HAVING count(*) > 1 UNION ALL SELECT 'RENDERER_KEY_REPEATED', v, p || ' ' || polarity || ' ' || language FROM renderers GROUP BY v, p, polarity, language HAVING count(*) > 1
+UNION ALL SELECT 'RENDERER_POLARITY_INVALID', v, id FROM renderers WHERE polarity = 'both' UNION ALL SELECT 'RENDERER_PREDICATE_UNKNOWN', v, id || ' ' || p FROM renderers WHERE (v, p) NOT IN (SELECT v, id FROM predicates)
+UNION ALL SELECT 'RENDERER_FIELDS_DIFFER', r.v, r.id FROM renderers r WHERE (r.v, r.p) IN (SELECT v, id FROM predicates) AND r.fields IS DISTINCT FROM (SELECT list_sort(list(DISTINCT name)) FROM arguments a WHERE a.v = r.v AND a.p = r.p)""")
+def vocabulary_issues(s, d):
+    line, supplier = _line(s, d), t.table(s, d, "supplier")
+    base = _of(supplier, vocabulary="s_suppkey", id="'t1'", base="if(s_nationkey % 5 = 0, 'ct:float', 'ct:decimal')")
+    types = base.union(_of(supplier.where("s_nationkey % 4 = 1"), vocabulary="s_suppkey", id="'ct:string'", base="'ct:string'")).union(_of(supplier.where("s_nationkey % 6 = 1"), vocabulary="s_suppkey", id="'t1'", base="'ct:decimal'"))
+    units = _of(supplier, vocabulary="s_suppkey", unit="'kg'").union(_of(supplier.where("s_nationkey % 3 = 0"), vocabulary="s_suppkey", unit="'kg'"))
+    arguments = _of(line, vocabulary="l_suppkey", predicate=_PREDICATE, name="concat('n', l_linenumber % 3)", type=_ARGUMENT_TYPE, unit=_UNIT)
+    renderers = _of(line.where("l_quantity > 40"), vocabulary="l_suppkey", id="concat('r', l_orderkey % 50)", predicate=_PREDICATE, polarity=_POLARITY, language="l_returnflag", template="if(l_discount < 0.05, '{n0} is {n1}', '{n2}, {n1}, {n0}, {n1}')")
+    return vocabularies.vocabulary_issues(types, units, _of(line.where("l_linenumber < 3"), vocabulary="l_suppkey", id=_PREDICATE, kind=_KIND), arguments, renderers)
+
+
+_RECORD = records.Shape("event", ("schema_version", "type", "run_id", "recorded_at", "payload"), allowed={"schema_version": ("event/1",), "type": ("run", "view", "click", "purchase", "signup")}, patterns={"run_id": "^run:[0-9]+$"}, objects=("payload",), times=("recorded_at",))
+
+
+@query("""WITH e AS (SELECT *, event_id % 40 AS z, '{"payload":{"k":1},"recorded_at":"2024-01-01T00:00:00Z","run_id":"run:' || user_id || '","schema_version":"event/1","type":"' || event_type || '"}' AS core FROM events), n AS (SELECT *, 'e' || event_id AS fallback FROM e)
+SELECT 'INVALID_JSON' AS code, fallback AS name, '' AS detail FROM n WHERE z IN (1, 2) UNION ALL SELECT 'KEYS_MISSING', fallback, 'recorded_at' FROM n WHERE z = 3 UNION ALL SELECT 'TIME_MALFORMED', fallback, 'recorded_at' FROM n WHERE z IN (3, 4) UNION ALL SELECT 'KEYS_UNKNOWN', fallback, 'more' FROM n WHERE z = 5
+UNION ALL SELECT 'HASH_MISMATCH', fallback, 'id' FROM n WHERE z IN (3, 4, 6, 7, 8) UNION ALL SELECT 'VALUE_MALFORMED', fallback, 'run_id' FROM n WHERE z = 6 UNION ALL SELECT 'NOT_AN_OBJECT', fallback, 'payload' FROM n WHERE z = 7 UNION ALL SELECT 'VALUE_NOT_ALLOWED', fallback, 'schema_version' FROM n WHERE z = 8
+UNION ALL SELECT 'VALUE_NOT_ALLOWED', fallback, 'type' FROM n WHERE z NOT IN (1, 2) AND event_type NOT IN ('view', 'click', 'purchase', 'signup') UNION ALL SELECT 'NAME_DIFFERS', fallback, 'id' FROM n WHERE z NOT IN (1, 2)
+UNION ALL SELECT 'ID_REPEATED', min(fallback), 'event:sha256:' || sha256(core) FROM n WHERE z NOT IN (1, 2) GROUP BY core HAVING count(*) > 1""")
+def record_issues(s, d):
+    """Events as records whose text is not canonical, some of them spoiled after they were named."""
+    z = F.col("event_id") % 40
+    pick = lambda default, **by: F.coalesce(*(F.when(z == int(k[1:]), v) for k, v in by.items()), F.lit(default))
+    core = F.concat(F.lit('{"payload":{"k":1},"recorded_at":"2024-01-01T00:00:00Z","run_id":"run:'), F.col("user_id").cast("string"), F.lit('","schema_version":"event/1","type":"'), "event_type", F.lit('"}'))
+    time = pick('"recorded_at":"2024-01-01T00:00:00Z", ', z1='"recorded_at":NaN, ', z2='"recorded_at":"", "recorded_at":"2024-01-01T00:00:00Z", ', z3="", z4='"recorded_at":"2024-01-01 00:00:00", ', z5='"recorded_at":"2024-01-01T00:00:00Z", "more": null, ')
+    text = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "id":"event:sha256:'), F.sha2(core, 256), F.lit('", '), time, pick('"run_id" : "run:', z6='"run_id" : "walk:'), F.col("user_id").cast("string"), pick('", "payload":{"k":1},', z7='", "payload":[1],'), pick('"schema_version":"event/1"}', z8='"schema_version":"event/0"}'))
+    return records.issues(t.table(s, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("name"), text.alias("text")), _RECORD)

@@ -1,11 +1,13 @@
 """Judgements, declarations, projections, releases and journals on small cases."""
 
+import hashlib
 import itertools
 import random
 
 from pyspark.sql import functions as F
 
-from strandline.operators import assessments, checks, declarations, graph, projections, releases
+from strandline.functions import canonical
+from strandline.operators import assessments, checks, declarations, graph, projections, records, releases, vocabularies
 from strandline.streaming import journals
 
 
@@ -211,3 +213,48 @@ def test_journal_over_batches_is_one_batch(spark, tmp_path):
         if part in (1, 3):
             found = journals.stage_journal(stream(), parents, path)
             assert rows(found, "run_id", "stage", "at", "event_id", "state") == sorted(wanted[: part * 30 + 30])
+
+
+VOCABULARY = {
+    "types": ("vocabulary string, id string, base string", [("v", "mass", "ct:decimal")]),
+    "units": ("vocabulary string, unit string", [("v", "kg")]),
+    "predicates": ("vocabulary string, id string, kind string", [("v", "weighs", "input"), ("v", "heavy", "derived"), ("v", "named", "input")]),
+    "arguments": ("vocabulary string, predicate string, name string, type string, unit string", [("v", "weighs", "who", "ct:symbol", None), ("v", "weighs", "much", "mass", "kg"), ("v", "heavy", "who", "ct:symbol", None), ("v", "named", "who", "ct:symbol", None), ("v", "named", "flag", "ct:boolean", None)]),
+}
+
+
+def rule_issues(spark, atoms, terms, constraints=()):
+    side = "struct<var:string,type:string,value:string,unit:string>"
+    tables = [made(spark, names, *values) for names, values in VOCABULARY.values()]
+    given = lambda names, values: spark.createDataFrame([("v", "r", *x) for x in values], f"vocabulary string, rule string, {names}")
+    found = vocabularies.rule_issues(*tables, given("at int, head boolean, predicate string, polarity string", atoms), given("at int, name string, var string, type string, value string, unit string", terms), given(f"op string, left {side}, right {side}", constraints))
+    return [tuple(r) for r in rows(found, "code", "detail")]
+
+
+def test_rule_issues(spark):
+    atoms = [(0, True, "heavy", "positive"), (1, False, "weighs", "positive"), (2, False, "named", "negative")]
+    terms = [(0, "who", "x", None, None, None), (1, "who", "x", None, None, None), (1, "much", "m", None, None, None), (2, "who", "x", None, None, None), (2, "flag", None, "ct:boolean", "true", None)]
+    var, const = lambda name: (name, None, None, None), lambda *x: (None, *x)
+    assert rule_issues(spark, atoms, terms, [("gte", var("m"), const("mass", "5", "kg"))]) == []
+    assert rule_issues(spark, atoms, terms, [("gte", var("m"), const("ct:decimal", "5", "kg")), ("lt", var("x"), const("ct:symbol", "b", None)), ("near", var("z"), const("odd", "5", "lb"))]) == [
+        ("COMPARATOR_UNKNOWN", "r near"), ("COMPARISON_NOT_NUMERIC", "r lt"), ("CONSTRAINT_KINDS_DIFFER", "r gte"), ("CONSTRAINT_TYPE_UNKNOWN", "r odd"), ("CONSTRAINT_UNIT_UNKNOWN", "r lb"), ("CONSTRAINT_VARIABLE_UNBOUND", "r z"),
+    ]
+    assert rule_issues(spark, atoms, terms[:4] + [(2, "flag", None, "ct:boolean", "yes", None)]) == [("CONSTANT_VALUE_INVALID", "r 2 flag")]
+    assert rule_issues(spark, atoms, terms[:4] + [(2, "flag", None, "ct:string", "true", None)]) == [("CONSTANT_KIND_DIFFERS", "r 2 flag")]
+    assert rule_issues(spark, atoms, terms[:4]) == [("RULE_ARGUMENTS_DIFFER", "r 2 flag")]
+    assert rule_issues(spark, atoms, [*terms, (1, "why", "x", None, None, None)]) == [("RULE_ARGUMENTS_DIFFER", "r 1 why")]
+    assert rule_issues(spark, atoms, [(0, "who", "q", None, None, None), *terms[1:]]) == [("VARIABLE_UNBOUND", "r q")]
+    assert rule_issues(spark, atoms, [*terms[:2], (1, "much", "x", None, None, None), *terms[3:]]) == [("VARIABLE_OF_SEVERAL_KINDS", "r x")]
+    assert rule_issues(spark, [(0, True, "weighs", "positive"), atoms[1]], [(0, "who", "x", None, None, None), (0, "much", "m", None, None, None), *terms[1:3]]) == [("RULE_HEAD_NOT_DERIVED", "r weighs")]
+    assert rule_issues(spark, [(0, True, "lost", "maybe")], []) == [("RULE_POLARITY_INVALID", "r 0"), ("RULE_PREDICATE_UNKNOWN", "r lost"), ("RULE_WITHOUT_BODY", "r")]
+
+
+def test_records(spark):
+    shape = records.Shape("note", ("kind", "body"), allowed={"kind": ("a",)}, arrays=("body",))
+    digest = hashlib.sha256(canonical.canonical('{"kind":"a","body":[]}').encode()).hexdigest()
+    sound = f'{{"id": "note:sha256:{digest}", "kind": "a", "body": []}}'
+    store = made(spark, "name string, text string", (f"{digest}.json", sound), ("x.json", sound), ("y", "[]"), ("z", None), ("w", '{"id": 5, "kind": 1, "body": {}}'))
+    assert rows(records.issues(store, shape), "code", "name") == sorted([
+        ("ID_REPEATED", f"{digest}.json"), ("NAME_DIFFERS", "x.json"), ("INVALID_JSON", "z"), ("NOT_AN_OBJECT", "y"), ("VALUE_NOT_ALLOWED", "y"), ("NOT_AN_ARRAY", "y"), ("ID_MALFORMED", "y"),
+        ("VALUE_NOT_ALLOWED", "w"), ("NOT_AN_ARRAY", "w"), ("ID_MALFORMED", "w"),
+    ])
