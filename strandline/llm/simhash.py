@@ -14,7 +14,8 @@ forest of its links, never all pairs.  Links then go through ``components``.
 
 ``near_duplicates`` links at a few differing bits.  ``keep_first`` links by the
 similarity of shingle sets: candidates by prefix filtering, which holds every pair
-at the bound, and each checked on the sets.
+at the bound, and each checked on the sets.  Given ``bits`` it links fingerprints
+first, as ``near_duplicates`` does, and sets only where these leave texts apart.
 
 Cases: a null or empty text, or one of blanks only, has fingerprint zero and
 links like any other; fewer words than a shingle form one shingle; repeated rows
@@ -191,27 +192,41 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - SLACK) + 1 if n else 0
 
 
-def _folded(named: DataFrame, words_per_shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``id, mark, fp`` of each row, ``fp`` a 128-bit hash of its set; ``fp, node`` and ``node, hashes`` of each distinct set; all stored."""
+def _folded(named: DataFrame, words_per_shingle: int, words_per_print: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``id, mark, fp, fingerprint`` of each row, ``fp`` a 128-bit hash of its set; ``fp, node`` and ``node, hashes`` of each distinct set; all stored.
+
+    ``fingerprint`` is null if no ``words_per_print`` are given.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_tables()
         for batch in batches:
             found = [shingle_set(t.as_py(), words_per_shingle) for t in batch.column("text")]
             prints = [xxhash.xxh3_128_digest(s.astype("<u8").tobytes(), SEED) for s in found]
+            bits = pa.array([words_per_print and fingerprint(t.as_py(), words_per_print) for t in batch.column("text")], pa.int64())
             hashes = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(prints, pa.binary()), hashes], names=["id", "mark", "fp", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(prints, pa.binary()), bits, hashes], names=["id", "mark", "fp", "fingerprint", "hashes"])
         trim()
 
-    schema = T.StructType([named.schema["id"], named.schema["mark"], T.StructField("fp", T.BinaryType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    schema = T.StructType([named.schema["id"], named.schema["mark"], T.StructField("fp", T.BinaryType()), T.StructField("fingerprint", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
     rows = written(bounded_batches(named).mapInArrow(run, schema).withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
-    prints = written(rows.select("id", "mark", "fp"), "prints")
+    prints = written(rows.select("id", "mark", "fp", "fingerprint"), "prints")
     nodes = written(rows.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
     repeats = written(rows.select("fp", "node").join(nodes.select("fp", F.col("node").alias("first")), "fp").where("node <> first").select("node"), "repeats")
     sets = rows.select("node", "hashes").join(_small(repeats), "node", "left_anti")
     return prints, nodes, sets
 
 
+def _print_links(prints: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
+    """Edges ``(u, v)`` of nodes that join all whose fingerprints are equal or link; stored."""
+    own = written(prints.select("fp", "fingerprint").distinct().join(nodes, "fp").select("fingerprint", "node"), "node-prints")
+    folded = written(own.groupBy("fingerprint").agg(F.min("node").alias("first"), F.count("*").alias("n")), "folded-prints")
+    equal = own.join(_small(folded.where("n > 1")), "fingerprint").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    found = written(links(folded.select(F.col("fingerprint").alias("fp")), bits).distinct(), "print-links").toDF("x", "y")
+    firsts = folded.select("fingerprint", "first")
+    return written(equal.union(found.join(firsts.toDF("x", "u"), "x").join(firsts.toDF("y", "v"), "y").select("u", "v")), "node-links")
+
+
 def _small(keys: DataFrame) -> DataFrame:
     """Stored keys, to be broadcast if a count shows that they are few."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
@@ -294,8 +309,8 @@ def verified(pairs: DataFrame, firsts: DataFrame, sets: DataFrame, similarity: f
     return known.where(F.col("both") >= F.lit(similarity) * F.col("either")).select("u", "v")
 
 
-def similar(sets: DataFrame, similarity: float) -> DataFrame:
-    """``node, hashes`` (distinct sets) to ``node, component`` by all links of this similarity or more; nodes without a link are left out.
+def similar(sets: DataFrame, similarity: float, linked: DataFrame | None = None) -> DataFrame:
+    """``node, hashes`` (distinct sets) to ``node, component`` by all links of this similarity or more, and by the edges ``linked`` (``u, v``); nodes without a link are left out.
 
     Sets this similar share a member of their prefixes, so no link is lost.  A shingle
     of two sets gives a pair.  One of more first gives pairs with a few of its sets,
@@ -312,7 +327,7 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     centres = hot.groupBy("h").agg(*(F.min_by(row, F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)))
     stars = hot.select("h", row.alias("a")).join(centres, "h").select("a", F.explode(F.array(*(f"c{k}" for k in range(CENTRES)))).alias("b"))
     near = verified(twos.union(stars.where((F.col("a.node") != F.col("b.node")) & _may_link("a", "b", similarity)).select(*ends)), firsts, sets, similarity)
-    near = written(near, "links")
+    near = written(near if linked is None else near.union(linked), "links")
     groups = written(components(near), "groups")
     placed = hot.join(groups, "node", "left").select("h", "n", "node", "size", "at", *MAP, *LAST, F.coalesce("component", "node").alias("component"))
     # Every set meets every other once: those of a shingle are dealt into chunks, and each two chunks meet.
@@ -326,17 +341,18 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     return components(near.union(verified(rest, firsts, sets, similarity)))
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, bits: int | None = None, words_per_print: int = 3) -> DataFrame:
     """One document of each group of near copies stays: that with the least id, nulls last; of rows with one id and text, one.
 
     Copies are texts whose sets of distinct shingles have a Jaccard similarity of
     ``similarity`` or more, and what a chain of these joins.  All such pairs are found
-    and each is checked on the sets themselves.
+    and each is checked on the sets themselves.  With ``bits``, texts whose fingerprints
+    of ``words_per_print`` words link at so many bits are copies too, whatever their sets.
     The texts move once: both joins and the repeats use the same keys.
     """
     named = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    prints, nodes, sets = _folded(named, words_per_shingle)
-    groups = similar(sets, similarity)
+    prints, nodes, sets = _folded(named, words_per_shingle, None if bits is None else words_per_print)
+    groups = similar(sets, similarity, None if bits is None else _print_links(prints, nodes, bits))
     for path in {f.rsplit("/", 1)[0] for f in sets.inputFiles() if "/shingle-sets-" in f}:  # large, and the texts move next
         drop_path(documents.sparkSession, path)
     placed = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))

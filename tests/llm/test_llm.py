@@ -171,6 +171,35 @@ def test_keep_first_keeps_texts_below_the_bar(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == firsts
 
 
+def test_near_dedup_stage_links_fingerprints_and_sets(spark):
+    import corpus_pipeline as c
+
+    dealt, texts = random.Random(17), [[], ["  "], ["one"], ["One"], ["one", "two"]]
+    for changes in (2, 4, 5, 6, 7):  # five-word similarity from 0.9 to 0.7
+        for _ in range(40):
+            base, copy = at_similarity(dealt, 204, changes)
+            chained = list(copy)
+            chained[-1] = "end"
+            texts += [base, copy, chained]
+    core = [f"c{k}" for k in range(7)] * 60  # its shingles outweigh the rest: equal fingerprints, sets far apart
+    texts += [core + [f"w{dealt.randrange(10**6)}" for _ in range(20)] for _ in range(3)]
+    texts = [" ".join(t) for t in texts]
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in words]
+    prints = [brute_fingerprint(t) for t in texts]
+    group, links = list(range(len(texts))), {"bits": 0, "sets": 0, "both": 0}
+    for j in range(len(texts)):
+        for i in range(j):
+            by_bits, by_sets = (prints[i] ^ prints[j]).bit_count() <= 3, len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if by_bits or by_sets:
+                links["both" if by_bits and by_sets else "bits" if by_bits else "sets"] += 1
+                least, other = sorted((group[i], group[j]))
+                group = [least if g == other else g for g in group]
+    assert min(links.values()) > 3
+    df = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in c.drop_near_copies(spark, df, "").collect()) == [i for i, g in enumerate(group) if i == g]
+
+
 def test_prefixes_of_similar_sets_meet():
     for n in range(1, 200):
         for m in range(n, 200):
